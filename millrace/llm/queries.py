@@ -45,6 +45,45 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where((F.col("n_pieces") > 1) & (F.col("piece_index") == 0)).select("chunk_kind", "chunk_id").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from .overlap import find
+
+    return find(table(spark, d, "gold_records", "id", "split", "user_input", "reference")).id_pairs()
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    from .overlap import find
+
+    return find(table(spark, d, "gold_records", "id", "split", "user_input", "reference")).pairs
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    from .overlap import find, report
+
+    records = table(spark, d, "gold_records", "id", "split", "user_input", "reference", "source_documents")
+    return report(find(records), records)
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    hybrid = table(spark, d, "hybrid_rows", "row_id", "query", "ground_truth").select(F.lit("hybrid").alias("row_table"), "row_id", F.col("query").alias("question"), F.col("ground_truth").alias("answer"))
+    tree = table(spark, d, "tree_rows", "row_id", "question", "evidence_snippets").select(
+        F.lit("tree").alias("row_table"), "row_id", "question", F.array_join("evidence_snippets", "\n").alias("answer")
+    )
+    return hybrid.unionByName(tree).dropDuplicates(["row_table", "row_id"])
+
+
+def p6_labels(spark: SparkSession, d: str) -> DataFrame:
+    from .pairs import defective_pairs
+
+    return defective_pairs(_pairs(spark, d)).select("row_table", "row_id", F.posexplode(F.arrays_zip("defects", "posteriors")).alias("place", "x")).select("row_table", "row_id", "place", F.col("x.defects").alias("defect"), F.col("x.posteriors").alias("posterior"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    from .pairs import defective_pairs
+
+    return defective_pairs(_pairs(spark, d)).select("row_table", "row_id", F.col("defects")[0].alias("defect"))
+
+
 def p7_order(spark: SparkSession, d: str) -> DataFrame:
     from .fusion import rank_walk
 
@@ -97,7 +136,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_repaired(spark, d).where((F.col("n_repaired") > 0) | (F.col("n_lost") > 0)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_pairs, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
 
 ORACLE: dict[str, str] = {
     "p1_found": f"""
