@@ -45,6 +45,26 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where((F.col("n_pieces") > 1) & (F.col("piece_index") == 0)).select("chunk_kind", "chunk_id").distinct()
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    parent = table(spark, d, "parent_chunks", "id", "text", "filename").select(F.lit("parent").alias("chunk_kind"), F.col("id").alias("chunk_id"), "filename", "text")
+    child = table(spark, d, "child_chunks", "id", "raw_text", "filename").select(F.lit("child").alias("chunk_kind"), F.col("id").alias("chunk_id"), "filename", F.col("raw_text").alias("text"))
+    return parent.unionByName(child)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    from .scan import learn, noise
+
+    texts = _scanned(spark, d)
+    return noise(texts, learn(texts)).distinct()
+
+
+def p3_repaired(spark: SparkSession, d: str) -> DataFrame:
+    from .scan import learn, repair_scans
+
+    texts = _scanned(spark, d)
+    return repair_scans(texts, learn(texts))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from .overlap import find
 
@@ -136,7 +156,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_repaired(spark, d).where((F.col("n_repaired") > 0) | (F.col("n_lost") > 0)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p4_found, p4_pairs, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_repaired, p4_found, p4_pairs, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
 
 ORACLE: dict[str, str] = {
     "p1_found": f"""
