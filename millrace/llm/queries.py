@@ -45,6 +45,29 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return pieces.where((F.col("n_pieces") > 1) & (F.col("piece_index") == 0)).select("chunk_kind", "chunk_id").distinct()
 
 
+DIMS, ALIKE, FLOOR = 64, 0.9, 0.85
+
+
+def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar others of every vector, as far as their similarity is at least FLOOR."""
+    from .neighbours import build_graph, nearest
+
+    return nearest(build_graph(table(spark, d, "child_chunks", "id", "dense_vec"), DIMS, FLOOR), 5)
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    near = p2_neighbours(spark, d).where(F.col("similarity") >= ALIKE)
+    return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
+
+
+def p2_search(spark: SparkSession, d: str) -> DataFrame:
+    """The exact five nearest of a hundredth of the chunks (by hash of the id) among all."""
+    from .neighbours import search
+
+    rows = table(spark, d, "child_chunks", "id", "dense_vec")
+    return search(rows, rows.where(F.pmod(F.xxhash64("id"), F.lit(100)) == 0), DIMS, 5)
+
+
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
     parent = table(spark, d, "parent_chunks", "id", "text", "filename").select(F.lit("parent").alias("chunk_kind"), F.col("id").alias("chunk_id"), "filename", "text")
     child = table(spark, d, "child_chunks", "id", "raw_text", "filename").select(F.lit("child").alias("chunk_kind"), F.col("id").alias("chunk_id"), "filename", F.col("raw_text").alias("text"))
@@ -156,7 +179,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_repaired(spark, d).where((F.col("n_repaired") > 0) | (F.col("n_lost") > 0)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_repaired, p4_found, p4_pairs, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p2_search, p3_found, p3_repaired, p4_found, p4_pairs, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
 
 ORACLE: dict[str, str] = {
     "p1_found": f"""
