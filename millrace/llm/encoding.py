@@ -110,23 +110,43 @@ def surety(text: str, start: int, end: int, out: str, name: str) -> int:
     return 2 if c.isalpha() and touching else 1
 
 
+_RUN = re.compile(r"[^\x00-\x7f]{2,}")
+
+
+@lru_cache(65536)
+def decoded(run: str) -> tuple[tuple[str, tuple[tuple[int, int, str], ...]], ...]:
+    """For each encoding that finds any, the well-formed spans of a run of high characters: (start, end, what they are)."""
+    found = []
+    for name in LEGACY:
+        m, spans = byte_map(name), []
+        for f in automaton(name).finditer(run):
+            try:
+                spans.append((f.start(), f.end(), bytes(m[c] for c in f.group()).decode("utf-8")))
+            except UnicodeDecodeError:
+                continue
+        if spans:
+            found.append((name, tuple(spans)))
+    return tuple(found)
+
+
 def multibyte(text: str) -> tuple[str, int]:
     """The text with its garbled spans decoded, and how many there were."""
     total = 0
     for _ in range(3):
+        by: dict[str, list[tuple[int, int, str, int]]] = {}
+        for run in _RUN.finditer(text):  # a span has two high characters at least
+            at = run.start()
+            # long runs (texts of another script) are read each time, so that the memo stays small
+            for name, spans in (decoded if len(run.group()) <= 64 else decoded.__wrapped__)(run.group()):
+                for a, b, out in spans:
+                    if level := surety(text, at + a, at + b, out, name):
+                        by.setdefault(name, []).append((at + a, at + b, out, level))
         best: tuple[int, str, list] = (0, text, [])
         for name in LEGACY:
-            m, spans, sure = byte_map(name), [], 0
-            for f in automaton(name).finditer(text):
-                try:
-                    out = bytes(m[c] for c in f.group()).decode("utf-8")
-                except UnicodeDecodeError:
-                    continue
-                if level := surety(text, f.start(), f.end(), out, name):
-                    spans.append((f.start(), f.end(), out))
-                    sure += (level == 2) * (f.end() - f.start())
-            if sure > best[0]:
-                best = (sure, name, spans)
+            if name in by:
+                sure = sum((level == 2) * (b - a) for a, b, _, level in by[name])
+                if sure > best[0]:
+                    best = (sure, name, [x[:3] for x in by[name]])
         if not best[0]:
             break
         _, name, spans = best
