@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import nested  # noqa: F401
+    from . import dataset, nested, text  # noqa: F401
