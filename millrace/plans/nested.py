@@ -11,10 +11,10 @@ from .registry import query
 
 NODES_SQL = """
     WITH RECURSIVE f AS (SELECT DISTINCT ON (doc_id) doc_id, raw_json::JSON AS j FROM structure_files WHERE json_valid(raw_json)),
-    t AS (SELECT doc_id, CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_type(j->'structure') IN ('ARRAY', 'OBJECT') THEN j->'structure'
+    tops AS (SELECT doc_id, CASE WHEN json_type(j) = 'ARRAY' THEN j WHEN json_type(j->'structure') IN ('ARRAY', 'OBJECT') THEN j->'structure'
                               WHEN json_type(j->'hierarchy') IN ('ARRAY', 'OBJECT') THEN j->'hierarchy' WHEN json_type(j) = 'OBJECT' THEN j END AS l FROM f),
     n AS (SELECT doc_id, CAST(i AS VARCHAR) AS node_path, '' AS parent_path, CASE WHEN json_type(l) = 'ARRAY' THEN json_extract(l, '$[' || i || ']') ELSE l END AS v
-          FROM (SELECT doc_id, l, unnest(range(CASE WHEN json_type(l) = 'ARRAY' THEN json_array_length(l)::BIGINT ELSE 1 END)) AS i FROM t WHERE l IS NOT NULL)
+          FROM (SELECT doc_id, l, unnest(range(CASE WHEN json_type(l) = 'ARRAY' THEN json_array_length(l)::BIGINT ELSE 1 END)) AS i FROM tops WHERE l IS NOT NULL)
           UNION ALL
           SELECT doc_id, node_path || '.' || i, node_path, CASE WHEN json_type(l) = 'ARRAY' THEN json_extract(l, '$[' || i || ']') ELSE l END
           FROM (SELECT doc_id, node_path, l, unnest(range(CASE WHEN json_type(l) = 'ARRAY' THEN json_array_length(l)::BIGINT ELSE 1 END)) AS i

@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import dataset, nested, retrieval, text  # noqa: F401
+    from . import dataset, nested, retrieval, text, trees  # noqa: F401
