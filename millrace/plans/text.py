@@ -100,7 +100,7 @@ def t19(spark: SparkSession, d: str) -> DataFrame:
 _ROWS = r"list_filter(list_transform(list_filter(list_transform(string_split(@, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: contains(x, '|')), lambda x: list_transform(string_split(regexp_replace(x, '^\||\|$', '', 'g'), '|'), lambda y: regexp_replace(y, '^\s+|\s+$', '', 'g'))), lambda r: len(list_filter(r, lambda x: NOT regexp_matches(x, '^:?-{2,}:?$'))) > 0)"
 _PIPED = "len(list_filter(string_split(@, chr(10)), lambda x: contains(x, '|')))"
 scalar("t20_table_header", lambda c: F.array_join(F.get(X.table_rows(c), F.lit(0)), "|"), f"CASE WHEN {_PIPED} >= 2 THEN array_to_string(({_ROWS})[1], '|') END")
-scalar("t20_table_cells", lambda c: F.size(F.flatten(X.pad_rows(X.table_rows(c)))) if False else F.coalesce(F.size(X.table_rows(c)) * F.size(F.get(X.table_rows(c), F.lit(0))), F.lit(-1)), f"coalesce(CASE WHEN {_PIPED} >= 2 THEN CAST(len({_ROWS}) * len(({_ROWS})[1]) AS INTEGER) END, -1)")
+scalar("t20_table_cells", lambda c: F.coalesce(F.size(X.table_rows(c)) * F.size(F.get(X.table_rows(c), F.lit(0))), F.lit(-1)), f"coalesce(CASE WHEN {_PIPED} >= 2 THEN CAST(len({_ROWS}) * len(({_ROWS})[1]) AS INTEGER) END, -1)")
 scalar("t22_repeats", X.truncate_repeats, None)
 scalar("t23_dominant_line", X.cut_dominant_line, None)
 scalar("t24_formula_number", X.formula_number, rf"CASE WHEN regexp_matches({_P}, '^[(（].*[)）]$') THEN {S('regexp_extract(' + _P + ', ' + chr(39) + '^[(（](.*)[)）]$' + chr(39) + ', 1)')} ELSE {_P} END", "child_chunks", "id", "section_title")
@@ -126,7 +126,7 @@ scalar("t42_summary", X.short_summary, rf"CASE WHEN @ IS NULL THEN NULL WHEN reg
 scalar("t43_match_form", lambda c: X.join_broken_words(U.nfkc(c)), None, "parent_chunks", "id")
 scalar("t44_despaced", lambda c: X.despace(X.strip_pipes(c)), r"regexp_replace(" + S(r"regexp_replace(@, '\s*\|\s*', ' ', 'g')") + r", '\s+', '', 'g')")
 scalar("t44_pair_values", X.values_of_pairs, r"array_to_string(list_filter(list_transform(regexp_split_to_array(@, '[,;]\s*'), lambda p: regexp_replace(CASE WHEN contains(p, '=') THEN regexp_replace(p, '^[^=]*=', '') ELSE p END, '^\s+|\s+$', '', 'g')), lambda v: v <> ''), ' ')", "gold_records", "id", "reference")
-scalar("t45_context_parts", lambda c: F.array_join(X.context_parts(F.concat(F.replace(c, F.lit(","), F.lit(" (Context 1)")), F.lit(""))), "|"), None, "gold_records", "id", "user_input")
+scalar("t45_context_parts", lambda c: F.array_join(X.context_parts(F.replace(c, F.lit(","), F.lit(" (Context 1)"))), "|"), None, "gold_records", "id", "user_input")
 scalar("t46_question_key", X.question_key, QUESTION_KEY_SQL, "gold_records", "id", "user_input")
 scalar("t47_question_hash", X.question_hash, f"md5({S('regexp_replace(lower(@), ' + chr(39) + chr(92) + 's+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')})", "hybrid_rows", "row_id", "query")
 scalar("t48_content_words", lambda c: F.array_join(F.array_sort(X.content_words(c)), " "), f"array_to_string(list_sort({WORDS_SQL}), ' ')", "gold_records", "id", "reference")
