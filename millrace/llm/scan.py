@@ -17,7 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,8 @@ _FOLD_B = re.compile("rn|vv|ii|li|ti|cl(?!i)|[01|9@+c5$8]")
 _TOKEN = re.compile(r"[^\W_](?:[\w@+|$]*[^\W_@])?|[@|+$][\w@+|$]*[^\W_]|[^\W_][\w@+|$]*[@+|](?!\w)")
 #: Fixed value: hyphen-like marks at a line's end.
 HYPHENS = "-­¬‐‑"
-BREAK = re.compile(rf"([^\W\d_][\w@+|$]*)([{HYPHENS}])[ \t]*(?:\r\n?|\n)[ \t]*([^\W\d_][\w@+|$]*)")
+_EOL = re.compile(rf"[{HYPHENS}][ \t]*(?:\r\n?|\n)[ \t]*")
+_PART = re.compile(r"[^\W\d_][\w@+|$]*")
 _LINES = re.compile(r"\r\n?|\n")
 _NUMBER = r"[0-9]{1,5}"
 #: The words before a page number and between it and the number of pages, as they fold.
@@ -60,6 +61,11 @@ def fold_a(w: str) -> str:
     return _FOLD_A.sub(lambda m: GLYPHS[m.group()], w.lower())
 
 
+def fold_signs(w: str) -> str:
+    """Single glyphs only: for words in which two glyphs that belong to different letters look like one pair."""
+    return "".join(GLYPHS.get(c, c) for c in w.lower())
+
+
 def folds(w: str) -> tuple[str, ...]:
     """The word with glyphs of one look made one; twice where c, l and i can be read as two pairs."""
     a = fold_a(w)
@@ -141,11 +147,12 @@ def names_file(head: str, title: list[str]) -> bool:
     """Whether a title-like line is the file's title, with a few words about the release at most."""
     if not title:
         return False
-    ws = [fold_a(w) for w in re.findall(r"[^\W_]+", head)]
-    return all(w in ws for w in title) and len(ws) <= len(title) + 5
+    ws = re.findall(r"[^\W_]+", head)
+    seen = {f for w in ws for f in (fold_a(w), fold_a(fold_signs(w)), fold_signs(w))}
+    return all(w in seen or fold_a(fold_signs(w)) in seen for w in title) and len(ws) <= len(title) + 5
 
 
-def mark(head: str, title: list[str]) -> str | None:
+def template(head: str, title: list[str]) -> str | None:
     """The line with the file's words taken out, if it has any: lines of different files then compare."""
     ws = re.findall(r"[^\W_]+|#", line_key(head))
     if not any(w in title for w in ws):
@@ -153,6 +160,35 @@ def mark(head: str, title: list[str]) -> str | None:
     return " ".join("%" if w in title else w for w in ws)
 
 
+def mend(text: str, decide: Callable[[str, str, str], bool]) -> str:
+    """The text with words broken at a line's end put together where `decide` (part, mark, part) says so; else the mark
+    stays and only the line feed goes. Searched from the marks, which are rare, and not from the words."""
+    out, at = [], 0
+    before, before_end = "", -1
+    for m in _EOL.finditer(text):
+        nxt = _PART.match(text, m.end())
+        if not nxt:
+            continue
+        i = m.start()
+        if i == before_end:
+            part = before  # the part after one break is the part before the next
+        else:
+            j = i
+            while j and (text[j - 1].isalnum() or text[j - 1] in "_@+|$"):
+                j -= 1
+            while j < i and not text[j].isalpha():
+                j += 1
+            part = text[j:i]
+        if not part:
+            continue
+        sign = m.group()[0]
+        whole = decide(part, sign, nxt.group())
+        out += [text[at:i], "" if whole else sign.replace("\u00ad", "-").replace("¬", "-")]
+        at = m.end()
+        before, before_end = (part + nxt.group() if whole else nxt.group()), nxt.end()
+    return "".join(out) + text[at:] if out else text
+
+
 class Text:
     """A text taken apart: its lines, which of them are furniture candidates, and the running text with broken words joined."""
 
@@ -173,11 +209,11 @@ class Text:
         self.joined: list[tuple[str, str, str]] = []
         body = "\n".join(s for i, s in enumerate(self.lines) if i not in self.kinds)
 
-        def join(m: re.Match) -> str:
-            self.joined.append((m.group(1), m.group(2), m.group(3)))
-            return m.group(1) + m.group(3)
+        def join(a: str, sign: str, b: str) -> bool:
+            self.joined.append((a, sign, b))
+            return True
 
-        self.running = BREAK.sub(join, BREAK.sub(join, body)) if any(h in body for h in HYPHENS) else body
+        self.running = mend(body, join) if any(h in body for h in HYPHENS) else body
 
 
 class Dictionary:
@@ -185,12 +221,14 @@ class Dictionary:
 
     def __init__(self, counts: dict[str, int], words: list[str] | None = None, vectors: np.ndarray | None = None, beside: list[str] | None = None, contexts: np.ndarray | None = None):
         self.counts = counts
+        self.memo: dict[str, list[str]] = {}
         self.by_fold: dict[str, list[str]] = {}
         for w in counts:
             if not _SIGNS.search(w):
                 for k in folds(w):
                     self.by_fold.setdefault(k, []).append(w)
         self.safe = {w for w in counts if not self.partners(w)}
+        self.memo.clear()
         self.at = {w: i for i, w in enumerate(words or ())}
         self.ctx = {w: i for i, w in enumerate(beside or ())}
         self.vectors, self.contexts = vectors, contexts
@@ -198,10 +236,15 @@ class Dictionary:
     def partners(self, w: str) -> list[str]:
         """Frequent words that `w` may be a misreading of."""
         w = w.lower()
-        n = max(self.counts.get(w, 0), 1)
-        ratio = RATIO_SIGNS if _SIGNS.search(w) else RATIO
-        out = {f for k in folds(w) for f in self.by_fold.get(k, ()) if f != w and self.counts[f] >= ratio * n and self.counts[f] >= LEAST}
-        return sorted(out, key=lambda f: (-self.counts[f], f))
+        if (out := self.memo.get(w)) is None:
+            n = max(self.counts.get(w, 0), 1)
+            ratio = RATIO_SIGNS if _SIGNS.search(w) else RATIO
+            found = {f for k in folds(w) for f in self.by_fold.get(k, ()) if f != w and self.counts[f] >= ratio * n and self.counts[f] >= LEAST}
+            out = sorted(found, key=lambda f: (-self.counts[f], f))
+            if len(self.memo) >= 200_000:  # it only saves time
+                self.memo.clear()
+            self.memo[w] = out
+        return out
 
     def agreement(self, w: str, around: list[str]) -> float:
         """How well a word's vector agrees with the words beside it: their mean mutual information as the model has it."""
@@ -215,14 +258,16 @@ class Dictionary:
         """(start, end) of misread words of a running text, and what they are."""
         out: dict[tuple[int, int], str] = {}
         tokens = None
+        # most texts hold no word that could be one
+        odd = {t for t in set(_TOKEN.findall(text)) if t.lower() not in self.safe and is_word(t) and self.partners(t)}
+        if not odd:
+            return out
         for m in _TOKEN.finditer(text):
             t = m.group()
-            low = t.lower()
-            if low in self.safe or not is_word(t):
+            if t not in odd:
                 continue
+            low = t.lower()
             found = self.partners(low)
-            if not found:
-                continue
             if len(found) > 1 or not _SIGNS.search(low):
                 if tokens is None:
                     tokens = [(x.start(), x.group().lower()) for x in _TOKEN.finditer(text)]
@@ -266,13 +311,17 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words.update(map(str.lower, re.findall(r"[^\W_][\w@+|$'-]*[^\W_@]|[@|+$][\w@+|$]*[^\W_]|[^\W_]", t.running)))
             if name and t.kinds:
                 for k in {line_key(x.head) for x in t.kinds.values() if x.head}:
-                    heads[name, k] += 1
+                    heads["h", name, k] += 1
+                title = file_words(name)
+                for k in {template(x.head, title) for x in t.kinds.values() if x.head}:
+                    if k:
+                        heads["t", name, k] += 1
         # compounds with their hyphen count as they are, and by their parts
         for w in [w for w in words if "-" in w]:
             for p in w.split("-"):
                 if p:
                     words[p] += words[w]
-        rows = [("w", "", w, n) for w, n in words.items()] + [("h", f, k, n) for (f, k), n in heads.items()]
+        rows = [("w", "", w, n) for w, n in words.items()] + [(kind, f, k, n) for (kind, f, k), n in heads.items()]
         cols = list(zip(*rows)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())], names=["kind", "filename", "key", "n"])
 
@@ -336,17 +385,20 @@ def vectors(texts: DataFrame, counts: dict[str, int]) -> tuple[list[str], np.nda
 
 
 class Model:
-    """What is learned from the texts: the dictionary with its vectors, and the lines of every file (`heads`, a staged table)."""
+    """What is learned from the texts: the dictionary with its vectors; the title-like lines that repeat in a file (`heads`:
+    filename, key); and those that, the file's own words aside, stand in several files (`forms`: form)."""
 
-    def __init__(self, words: Dictionary, heads: DataFrame):
-        self.words, self.heads = words, heads
+    def __init__(self, words: Dictionary, heads: DataFrame, forms: DataFrame):
+        self.words, self.heads, self.forms = words, heads, forms
 
 
 def learn(texts: DataFrame) -> Model:
     """From (text, filename), by three jobs over all texts and whole."""
-    counts = stage(texts.select("filename", "text").mapInArrow(_count, "kind string, filename string, key string, n long").groupBy("kind", "filename", "key").agg(F.sum("n").alias("n")).where("kind = 'w' AND n > 1 OR kind = 'h'"), "counts")
+    counts = stage(texts.select("filename", "text").mapInArrow(_count, "kind string, filename string, key string, n long").groupBy("kind", "filename", "key").agg(F.sum("n").alias("n")).where("kind <> 'w' OR n > 1"), "counts")
     known = dictionary(counts)
-    return Model(Dictionary(known, *vectors(texts, known)), counts.where("kind = 'h'").select("filename", "key", "n"))
+    heads = counts.where("kind = 'h'").where(F.col("n") >= REPEATS).select("filename", "key")
+    forms = counts.where("kind = 't'").groupBy(F.col("key").alias("form")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATS).select("form")
+    return Model(Dictionary(known, *vectors(texts, known)), heads, forms)
 
 
 def noise(texts: DataFrame, model: Model, keep: tuple[str, ...] = ("chunk_kind", "chunk_id")) -> DataFrame:
@@ -356,42 +408,45 @@ def noise(texts: DataFrame, model: Model, keep: tuple[str, ...] = ("chunk_kind",
     Texts stay where they are read; only title-like lines that don't name their file are shuffled, to be looked up by
     file and line, where equal lines of a file were counted before."""
     src = texts.select(*keep, "filename", "text")
-    schema = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in keep) + ", filename string, noise string, key string"
+    schema = ", ".join(f"{c} {src.schema[c].dataType.simpleString()}" for c in keep) + ", filename string, noise string, key string, form string"
     words = model.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                rows, kinds, keys = [], [], []
+                rows, kinds, keys, forms = [], [], [], []
                 for r, (name, text) in enumerate(zip(part.column("filename").to_pylist(), part.column("text").to_pylist())):
                     if not text:
                         continue
                     t = Text(text)
                     title = file_words(name)
-                    got: set[tuple[str, str | None]] = set()
+                    got: set[tuple[str, str | None, str | None]] = set()
                     for x in t.kinds.values():
                         if x.page:
-                            got.add(("page_number", None))
+                            got.add(("page_number", None, None))
                         if x.head:
-                            got.add(("header", None) if names_file(x.head, title) else ("header", line_key(x.head)))
+                            got.add(("header", None, None) if names_file(x.head, title) else ("header", line_key(x.head), template(x.head, title)))
                     if any(words.is_broken(*j) for j in t.joined):
-                        got.add(("hyphenation", None))
+                        got.add(("hyphenation", None, None))
                     if words.corrections(t.running):
-                        got.add(("misread", None))
-                    for n, k in got:
+                        got.add(("misread", None, None))
+                    for n, k, f in got:
                         rows.append(r)
                         kinds.append(n)
                         keys.append(k)
+                        forms.append(f)
                 take = pa.array(rows, pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(i).take(take) for i in range(len(keep))), part.column("filename").take(take), pa.array(kinds, pa.string()), pa.array(keys, pa.string())], names=[*keep, "filename", "noise", "key"]
+                    [*(part.column(i).take(take) for i in range(len(keep))), part.column("filename").take(take), pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(forms, pa.string())], names=[*keep, "filename", "noise", "key", "form"]
                 )
 
     found = stage(src.mapInArrow(run, schema), "noise")
     sure = found.where("key IS NULL").select(*keep, "noise")
-    repeated = model.heads.where(F.col("n") >= REPEATS).select("filename", "key")
-    return sure.unionByName(found.where("key IS NOT NULL").join(repeated, ["filename", "key"], "left_semi").select(*keep, "noise"))
+    open_ = found.where("key IS NOT NULL")
+    by_file = open_.join(model.heads, ["filename", "key"], "left_semi").select(*keep, "noise")
+    by_form = open_.join(model.forms, "form", "left_semi").select(*keep, "noise")
+    return sure.unionByName(by_file).unionByName(by_form)
 
 
 def repaired(text: str | None, filename: str | None, headers: set[str], words: Dictionary) -> str | None:
@@ -408,10 +463,7 @@ def repaired(text: str | None, filename: str | None, headers: set[str], words: D
         out.append(s.rstrip())
     body = "\n".join(out)
 
-    def join(m: re.Match) -> str:
-        return m.group(1) + m.group(3) if words.is_broken(*m.groups()) else m.group(1) + m.group(2).replace("­", "-").replace("¬", "-") + m.group(3)
-
-    body = BREAK.sub(join, BREAK.sub(join, body))
+    body = mend(body, words.is_broken)
     fixed, at = [], 0
     for (a, b), w in sorted(words.corrections(body).items()):
         fixed += [body[at:a], w]
@@ -454,18 +506,22 @@ def repair_scans(texts: DataFrame, model: Model, keep: tuple[str, ...] = ("chunk
             out = []
             for name, text in zip(batch.column("filename").to_pylist(), batch.column("text").to_pylist()):
                 title = file_words(name)
-                out.append(sorted({line_key(x.head) for x in Text(text).kinds.values() if x.head and not names_file(x.head, title)}) if text and name else [])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.string()))], names=[*keep, "filename", "text", has])
+                heads = {x.head for x in Text(text).kinds.values() if x.head and not names_file(x.head, title)} if text and name else ()
+                out.append([{"line": k, "form": f} for k, f in sorted({(line_key(h), template(h, title) or "") for h in heads})])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.struct([("line", pa.string()), ("form", pa.string())])))], names=[*keep, "filename", "text", has])
 
-    marked = src.mapInArrow(lines, f"{base}, filename string, text string, {has} array<string>")
+    marked = src.mapInArrow(lines, f"{base}, filename string, text string, {has} array<struct<line:string,form:string>>")
     plain = marked.where(F.size(has) == 0).withColumn("headers", F.array().cast("array<string>"))
-    repeated = model.heads.where(F.col("n") >= REPEATS).select("filename", F.col("key").alias("line"), F.lit(True).alias("known"))
+    repeated = model.heads.select("filename", F.col("key").alias("line"), F.lit(True).alias("in_file"))
+    forms = model.forms.select("form", F.lit(True).alias("in_forms"))
     other = (
         marked.where(F.size(has) > 0)
-        .select(*keep, "filename", "text", F.explode(has).alias("line"))
+        .select(*keep, "filename", "text", F.explode(has).alias("x"))
+        .select(*keep, "filename", "text", "x.line", "x.form")
         .join(repeated, ["filename", "line"], "left")
+        .join(forms, "form", "left")
         .groupBy(*keep, "filename")
-        .agg(F.first("text").alias("text"), F.collect_set(F.when(F.col("known"), F.col("line"))).alias("headers"))
+        .agg(F.first("text").alias("text"), F.collect_set(F.when(F.col("in_file") | F.col("in_forms"), F.col("line"))).alias("headers"))
     )
 
     def fix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
