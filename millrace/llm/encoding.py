@@ -84,7 +84,9 @@ def _ascii_letter(c: str) -> bool:
 
 def surety(text: str, start: int, end: int, out: str, name: str) -> int:
     """2: text garbled for sure; 1: garbled if more of the text is; 0: not."""
-    if not all(map(ordinary, out)):
+    # control characters of the upper half are bytes that were garbled once more; they need another character beside them
+    known = [c for c in out if not "\x80" <= c <= "\x9f"]
+    if not known or not all(map(ordinary, known)):
         return 0
     lead = text[start]
     before, after = text[start - 1 : start], text[end : end + 1]
