@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 # Patterns and word lists that decide what these functions find.
 COMPOUND = r"[A-Za-z][A-Za-z0-9]*(?:[_:][A-Za-z0-9]+)+|[A-Za-z]{2,}[0-9]+[A-Za-z0-9]*|[A-Za-z0-9]+(?:::[A-Za-z0-9]+)+"
+# the same for the JVM, begun at the start of a run only and without going back, so that long runs take linear time
+COMPOUND_JVM = (
+    r"(?<![A-Za-z])[A-Za-z][A-Za-z0-9]*+(?:[_:][A-Za-z0-9]++)+|(?<![A-Za-z])[A-Za-z]{2,}+[0-9]++[A-Za-z0-9]*+|(?<![A-Za-z0-9])[A-Za-z0-9]++(?:::[A-Za-z0-9]++)+"
+)
 PAGE_TAG = r"(?i)\[page\s+[0-9]+\]"
 GARBAGE = (r"^[|_\-=]{5,}$", r"^[.\s]{10,}$", r"^[^\p{L}\p{N}_\s]{3,}$", r"^[|]$")
 FURNITURE = (r"(?i)^(?:page|seite)\s+[0-9]+\s*(?:of|von)\s+[0-9]+$", r"^[0-9]+\s*/\s*[0-9]+$", r"^-\s*[0-9]+\s*-$", r"(?i)^©\s+[0-9]{4}", r"(?i)^confidential$", r"(?i)^draft$")
@@ -51,9 +55,9 @@ def any_of(c: Column, patterns) -> Column:
 def identifier_tokens(c: Column) -> Column:
     """Lower-case tokens: each compound identifier whole and by its parts of over one character, then the other words of
     over one character; repeated ones stay. A compound that begins inside a run that starts with a digit takes its part."""
-    whole = F.transform(F.regexp_extract_all(c, F.lit(f"({COMPOUND})"), 1), F.lower)
+    whole = F.transform(F.regexp_extract_all(c, F.lit(f"({COMPOUND_JVM})"), 1), F.lower)
     parts = F.flatten(F.transform(whole, lambda w: F.concat(F.array(w), F.filter(F.regexp_extract_all(w, F.lit("([a-z0-9]+)"), 1), lambda p: F.length(p) > 1))))
-    plain = F.filter(F.regexp_extract_all(F.lower(F.regexp_replace(c, COMPOUND, " ")), F.lit("([a-z0-9]+)"), 1), lambda p: F.length(p) > 1)
+    plain = F.filter(F.regexp_extract_all(F.lower(F.regexp_replace(c, COMPOUND_JVM, " ")), F.lit("([a-z0-9]+)"), 1), lambda p: F.length(p) > 1)
     return F.concat(parts, plain)
 
 
