@@ -74,7 +74,7 @@ def fuse(a: DataFrame, b: DataFrame, wa: float = 0.8, wb: float = 0.2, k: int =
 
 def token_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, token, n, total): how often each token is in a document, and how many tokens that has."""
-    t = docs.select(F.col(key), X.identifier_tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
+    t = docs.select(F.col(key), X.identifier_tokens(F.col(text)).alias("t"))
     return t.select(key, F.size("t").alias("total"), F.explode("t").alias("token")).groupBy(key, "token", "total").agg(F.count(F.lit(1)).alias("n"))
 
 
