@@ -46,8 +46,6 @@ def byte_map(name: str) -> dict[str, int]:
 def automaton(name: str) -> re.Pattern:
     """Maximal runs of well-formed multibyte sequences, over the characters that stand for their bytes in `name`."""
     m = byte_map(name)
-    char = {b: c for c, b in sorted(m.items(), key=lambda x: ord(x[0]), reverse=True)}
-
     def cls(low: int, high: int) -> str:
         cs = "".join(re.escape(c) for c, b in m.items() if low <= b <= high)
         return f"[{cs}]" if cs else "(?!)"
@@ -62,7 +60,6 @@ def automaton(name: str) -> re.Pattern:
         cls(0xF1, 0xF3) + tail * 3,
         cls(0xF4, 0xF4) + cls(0x80, 0x8F) + tail + tail,
     )
-    assert char
     return re.compile("(?:" + "|".join(seqs) + ")+")
 
 
@@ -165,7 +162,6 @@ def multibyte(text: str) -> tuple[str, int]:
     return text, total
 
 
-_WORD = re.compile(r"[^\W\d_]*[^\x00-\x7f][^\s]*|\S*[^\x00-\x7f]\S*")
 #: Signs that stand beside letters or digits in correct text.
 BESIDE = set("°µΩ²³¹±§©®™€£¥’‘“”„«»‹›…–—‐‑·•¿¡ªºⁿ½¼¾×÷≈≤≥≠∞√∑π�\xa0\xad​‍﻿′″")
 #: Of these, signs that don't stand inside a word of letters.
@@ -195,8 +191,6 @@ def oddness(text: str) -> int:
                 odd += 1
             elif c in "þðÞÐ" and near:
                 odd += 1
-            elif c == "õ" and inside:
-                odd += 0
         elif c in BESIDE:
             if c in NOT_INSIDE:
                 odd += inside or (c in "½¼¾³²¹" and _ascii_letter(after)) or (c in "±÷≈≤≥≠" and near) or (c in "“„" and inside)
