@@ -164,6 +164,30 @@ def test_hot_seeds_still_meet(spark):
     assert {(f"e{i:02d}", f"t{i:02d}") for i in range(60)} <= got
 
 
+def test_group_of_edited_copies_against_brute_force(spark):
+    """Every seed of a large group is frequent, and edits leave short ones only."""
+    rng = random.Random(4)
+    say = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(70)]
+
+    def edited(ws):
+        return " ".join(w[:1] + rng.choice("xyz") + w[2:] if rng.random() < 0.05 else w for w in ws)
+
+    rows = [(f"{side}{i:03d}", side, edited(say[:18]), edited(say[18:])) for side in ("train", "test") for i in range(100)]
+    rows += [("other", "train", " ".join(say[:18]), " ".join(reversed(say[18:40])) + " and much else that is said nowhere"), ("short", "test", "yes", "no")]
+    want = {
+        tuple(sorted((i, j)))
+        for i, s, a, b in rows for j, t, c, d in rows
+        if s == "train" and t == "test" and all(overlap.left_over(overlap.words(x), overlap.words(y)) <= overlap.CHANGED for x, y in ((a, c), (b, d)))
+    }
+    got = {(p.id_a, p.id_b) for p in overlap.find(spark.createDataFrame(rows, "id string, split string, user_input string, reference string")).id_pairs().collect()}
+    assert got == want and len(want) > 9_900
+
+
+@given(st.text(alphabet="abc", min_size=1, max_size=10), st.text(alphabet="abc", min_size=1, max_size=10))
+def test_near_words_share_a_variant(a, b):
+    assert not overlap.near(a, b) or overlap.variants(a) & overlap.variants(b)
+
+
 @given(st.lists(st.sampled_from("abcdefgh"), min_size=40, max_size=120), st.integers(0, 30), st.integers(0, 30))
 @settings(deadline=None)
 def test_winnowing_guarantee(ws, a, b):
