@@ -127,6 +127,13 @@ def m01(spark: SparkSession, d: str) -> DataFrame:
     return v.where("item_id % 7 = 0").crossJoin(F.broadcast(q)).where("query_id <> item_id").select("query_id", "item_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score"))
 
 
+@query("m01_cosine_all", f"WITH {E}, {PAIR} SELECT query_id, item_id, score FROM s")
+def m01_all(spark: SparkSession, d: str) -> DataFrame:
+    """Cosines of the stated queries and all vectors."""
+    q, v = vecs(spark, d)
+    return v.crossJoin(F.broadcast(q)).where("query_id <> item_id").select("query_id", "item_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score"))
+
+
 @query("m02_unit_vectors", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / n)), 5) AS total FROM n")
 def m02(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "embeddings", "vec_id", "embedding")
