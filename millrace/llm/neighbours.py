@@ -7,7 +7,7 @@ changes. Equal directions are one point throughout and their members are added a
 Cells that the sample shows to be overfull are split by the signs of what sets their vectors apart from the centre.
 
 `floor` leaves out edges below a similarity. Without structure (independent directions in 64 dimensions) a graph can't
-be followed to weak neighbours, which the strong ones don't depend on; see the README for measured recall.
+be followed to weak neighbours, which the strong ones don't depend on; `exact_graph` has no floor and compares all with all; see the README for figures.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ SAMPLE = 20_000
 KEPT, ROUNDS, STILL = 16, 4, 0.001
 #: Ids that are sent to the vectors instead of shuffling the vectors to them.
 IDS_TO_ALL = 1_000_000
+#: Vectors of a block where all are compared with all.
+BLOCK = 32_768
 
 
 def usable(df: DataFrame, dims: int, key: str = "id", vector: str = "dense_vec") -> DataFrame:
@@ -159,6 +161,77 @@ class Graph:
         self.edges, self.members, self.reps = edges, members, reps
 
 
+def _points(df: DataFrame, dims: int, key: str, vector: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(usable vectors, members, reps, the vectors of one id of every direction)."""
+    src = usable(df, dims, key, vector)
+    members = stage(_directions(src, dims).groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2"), "members")
+    reps = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    reps = stage(reps.where("n > 1"), "reps")
+    copies = members.join(reps, ["h1", "h2"]).where("id <> rep").select("id")
+    n_copies = copies.count()
+    points = src if not n_copies else src.join(F.broadcast(copies) if n_copies <= IDS_TO_ALL else copies, "id", "left_anti")
+    return src, members, reps, points
+
+
+def exact_graph(df: DataFrame, dims: int, k: int, key: str = "id", vector: str = "dense_vec", block: int = BLOCK) -> Graph:
+    """The graph of the `k` most similar of every usable vector without a floor: blocks of vectors (by hash of the id)
+    are compared each with each, so the work grows with the square of the vectors. Rows take part as in `build_graph`.
+
+    A task holds two blocks; of each vector it hands on `k` for each other block."""
+    spark = df.sparkSession
+    _, members, reps, points = _points(df, dims, key, vector)
+    total = members.count()
+    if not total:
+        return Graph(spark.createDataFrame([], EDGE), members, reps)
+    n = max(1, -(-total // block))
+    # of several deliveries of one key the same one is taken in every block
+    points = stage(points.groupBy("id").agg(F.min("vec").alias("vec")).withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(n)).cast("int")), "points")
+
+    def read(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.array(t.column("id").to_pylist(), object)
+        o = np.argsort(ids, kind="stable")
+        return ids[o], _matrix(t.column("vec").combine_chunks(), dims)[o]
+
+    def against(left: pa.Table, right: pa.Table) -> pa.Table:
+        vs, us, ss = [pa.array([], pa.string())], [pa.array([], pa.string())], [pa.array([], pa.float32())]
+        if left.num_rows and right.num_rows:
+            one, other = read(left), read(right)
+            same = left.column("x")[0] == left.column("y")[0]
+            for (a, ma), (b, mb) in ((one, other),) if same else ((one, other), (other, one)):
+                for at in range(0, len(a), 512):
+                    s = ma[at : at + 512] @ mb.T
+                    if same:
+                        s[np.arange(len(s)), np.arange(at, at + len(s))] = -2
+                    q, v = _best(s, k)
+                    p, j = np.nonzero(v > -2)
+                    vs.append(pa.array(a[at + p], pa.string()))
+                    us.append(pa.array(b[q[p, j]], pa.string()))
+                    ss.append(pa.array(v[p, j]))
+        return pa.table({"v": pa.concat_arrays(vs), "u": pa.concat_arrays(us), "s": pa.concat_arrays(ss)})
+
+    # each pair of blocks once, the left one and the right one
+    left = points.select(F.col("b").alias("x"), F.explode(F.sequence("b", F.lit(n - 1))).alias("y"), "id", "vec")
+    right = points.select(F.explode(F.sequence(F.lit(0), "b")).alias("x"), F.col("b").alias("y"), "id", "vec")
+    first = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(against, EDGE)
+    return Graph(stage(_top(first, k), "edges"), members, reps)
+
+
+def _best(s: np.ndarray, k: int, run: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(columns, values) of the `k` largest of every row: they lie in the `k` runs of columns with the largest maxima."""
+    rows, n = s.shape
+    if n > 2 * k * run:
+        pad = -n % run
+        s = np.pad(s, ((0, 0), (0, pad)), constant_values=-2) if pad else s
+        most = s.reshape(rows, -1, run).max(axis=2)
+        runs = np.argpartition(-most, k - 1, axis=1)[:, :k]
+        cols = (runs[:, :, None] * run + np.arange(run)).reshape(rows, -1)
+        vals = np.take_along_axis(s, cols, 1)
+    else:
+        cols, vals = np.broadcast_to(np.arange(n), s.shape), s
+    o = np.argsort(-vals, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(cols, o, 1), np.take_along_axis(vals, o, 1)
+
+
 def build_graph(df: DataFrame, dims: int, floor: float, key: str = "id", vector: str = "dense_vec", kept: int = KEPT, rounds: int = ROUNDS) -> Graph:
     """The neighbour graph of all usable vectors. Null, short, zero and not finite vectors take no part; a repeated key
     counts once, with its smallest direction if it has several; an empty table gives an empty graph.
@@ -166,16 +239,10 @@ def build_graph(df: DataFrame, dims: int, floor: float, key: str = "id", vector:
     Shuffled are the ids once and the vectors once per cell they are put into; rounds shuffle edges, of which a point has
     `kept`, and the vectors of points with new candidates only. To the driver come the sample and counts."""
     spark = df.sparkSession
-    src = usable(df, dims, key, vector)
-    members = stage(_directions(src, dims).groupBy("id").agg(F.min(F.struct("h1", "h2")).alias("h")).select("id", "h.h1", "h.h2"), "members")
-    reps = members.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    reps = stage(reps.where("n > 1"), "reps")
+    src, members, reps, points = _points(df, dims, key, vector)
     total = members.count()
     if not total:
         return Graph(spark.createDataFrame([], EDGE), members, reps)
-    copies = members.join(reps, ["h1", "h2"]).where("id <> rep").select("id")
-    n_copies = copies.count()
-    points = src if not n_copies else src.join(F.broadcast(copies) if n_copies <= IDS_TO_ALL else copies, "id", "left_anti")
     size = min(total, max(SAMPLE, TABLES * min(CENTRES, total // CELL + 1)))
     # about `size` points by the hash of their ids, so that the sample is spread over all and the same each time
     some = points.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(min(1.0, size / total) * (1 << 30)) + 1).toArrow().sort_by("id")

@@ -49,14 +49,16 @@ DIMS, ALIKE, FLOOR = 64, 0.9, 0.85
 
 
 def p2_neighbours(spark: SparkSession, d: str) -> DataFrame:
-    """The five most similar others of every vector, as far as their similarity is at least FLOOR."""
-    from .neighbours import build_graph, nearest
+    """The five most similar others of every vector."""
+    from .neighbours import exact_graph, nearest
 
-    return nearest(build_graph(table(spark, d, "child_chunks", "id", "dense_vec"), DIMS, FLOOR), 5)
+    return nearest(exact_graph(table(spark, d, "child_chunks", "id", "dense_vec"), DIMS, 5), 5)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    near = p2_neighbours(spark, d).where(F.col("similarity") >= ALIKE)
+    from .neighbours import build_graph, nearest
+
+    near = nearest(build_graph(table(spark, d, "child_chunks", "id", "dense_vec"), DIMS, FLOOR), 5).where(F.col("similarity") >= ALIKE)
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 

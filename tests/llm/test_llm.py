@@ -60,6 +60,27 @@ def test_neighbours_against_brute_force(spark):
     assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 0.01 * len(want)
 
 
+def test_five_of_every_vector(spark, tmp_path):
+    """Weak neighbours too, of every vector, in several blocks, with copies and a key delivered twice."""
+    rows = vectors(600, 40, 7)
+    rows += [("copy1", rows[0][1]), ("copy2", rows[0][1]), ("v00003", rows[3][1])]
+    kept = dict(rows)
+    ids = sorted(kept)
+    m = np.array([kept[i] for i in ids], np.float32)
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    s = np.round(m @ m.T, 5)
+    np.fill_diagonal(s, -2)
+    want = {(ids[a], ids[b]) for a in range(len(ids)) for b in sorted(range(len(ids)), key=lambda b: (-s[a, b], ids[b]))[:5]}
+    df = spark.createDataFrame(rows + [("n", None), ("z", [0.0] * 64)], "id string, dense_vec array<float>")
+    got = {(r.id, r.neighbour) for r in neighbours.nearest(neighbours.exact_graph(df, 64, 5, block=150), 5).collect()}
+    assert got == want
+    df.write.parquet(str(tmp_path / "child_chunks.parquet"))
+    from millrace.llm.queries import p2_neighbours
+
+    assert {(r.id, r.neighbour) for r in p2_neighbours(spark, str(tmp_path)).collect()} == want
+    assert neighbours.nearest(neighbours.exact_graph(df.limit(0), 64, 5), 5).count() == 0
+
+
 def test_group_of_copies(spark):
     v = [float(x) for x in range(1, 65)]
     df = spark.createDataFrame([(f"c{i}", v) for i in range(20)], "id string, dense_vec array<float>")
