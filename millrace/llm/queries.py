@@ -114,7 +114,7 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     tree = table(spark, d, "tree_rows", "row_id", "question", "evidence_snippets").select(
         F.lit("tree").alias("row_table"), "row_id", "question", F.array_join("evidence_snippets", "\n").alias("answer")
     )
-    return hybrid.unionByName(tree).dropDuplicates(["row_table", "row_id"])
+    return hybrid.unionByName(tree)
 
 
 def p6_labels(spark: SparkSession, d: str) -> DataFrame:

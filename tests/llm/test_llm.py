@@ -241,6 +241,39 @@ def test_defects(spark):
     assert pairs.defective_pairs(spark.createDataFrame([], "row_table string, row_id int, question string, answer string")).count() == 0
 
 
+def test_list_marker_and_impossibility():
+    sign = lambda d, v: v[sum(n for k, n in list(pairs.FUNCTIONS.items())[: pairs.DEFECTS.index(d)]) :][: pairs.FUNCTIONS[d]]
+    assert list(pairs.FUNCTIONS) == list(pairs.DEFECTS)
+    q = "Which entries of the routing table may the gateway drop at start-up?"
+    assert "+" in sign("truncated_answer", pairs.votes(q, "All may be dropped. The exceptions are:\n1. default route\n2."))
+    assert "+" not in sign("truncated_answer", pairs.votes(q, "All may be dropped (see 4.2)."))
+    assert "+" in sign("refusal", pairs.votes(q, "It is impossible for me to tell from these pages what it drops."))
+    assert "+" not in sign("refusal", pairs.votes(q, "After 640 us without an answer, the entry is dropped, even if it lies outside the window."))
+    assert "+" not in sign("refusal", pairs.votes(q, "The module cannot answer a second request while the first is pending."))
+
+
+@pytest.mark.parametrize("n", [10, 160, 4000])
+def test_answers_are_read_whole(n):
+    """A copy is a copy however much of the question comes before it."""
+    rng = random.Random(n)
+    q = " ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+    assert pairs.votes(q + "?", q + " " + q)[3:6] == "+++" and pairs.votes(q + "?", " ".join(reversed(q.split())) + " " + q)[3] == "+"
+    assert pairs.votes(q + "?", q + " " + " ".join(w[::-1] + "k" for w in q.split()))[3:6] == "---"
+
+
+def test_cutoffs_are_validated():
+    """Damaged pairs of every kind come out, and the cutoff parts them from sound ones."""
+    fine = [(f"How long may the sensor label {i} stay in the buffer before it reports an error?", f"The label {i} stays there for at most {i} ms, and the driver then drops the oldest of its entries without a report.") for i in range(30)]
+    fine += [(f"Wie lange darf die Marke {i} im Puffer bleiben?", f"Die Marke {i} bleibt dort für höchstens {i} ms, und der Treiber verwirft danach die ältesten Einträge.") for i in range(10)]
+    bad = pairs.damaged(fine)
+    assert all(bad[d] for d in pairs.DEFECTS)
+    at = 0
+    for d, n in pairs.FUNCTIONS.items():
+        assert sum("+" in pairs.votes(*x)[at : at + n] for x in bad[d]) >= 0.95 * len(bad[d]), d
+        at += n
+    assert pairs.cutoff([0.0, 0.1, 0.6], [0.99, 0.9]) == pytest.approx(0.75) and pairs.cutoff([], []) == 0.5
+
+
 # ---- 7 one ranking
 
 def plain_walk(s, damping=0.9):
