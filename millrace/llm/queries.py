@@ -183,6 +183,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p2_search, p3_found, p3_repaired, p4_found, p4_pairs, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
 
+# windows of 12 words that both sides have; consecutive ones with one distance are a match
+LEAKS = r"""
+    WITH t AS (SELECT item_id, list_transform(regexp_extract_all(passage, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_passages),
+    g AS (SELECT item_id, i AS j, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12)),
+    d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
+    h AS (SELECT doc_id, i, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
+    m AS (SELECT doc_id, item_id, i, i - j AS far, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM h JOIN g ON h.k = g.k),
+    r AS (SELECT doc_id, item_id, min(i) - 1 AS p, count(*) + 11 AS n FROM m GROUP BY doc_id, item_id, far, run),
+    b AS (SELECT doc_id, item_id, max(n)::INTEGER AS n_words, arg_min(p, (-n, p))::INTEGER AS word_position FROM r GROUP BY doc_id, item_id)"""
+
 ORACLE: dict[str, str] = {
     "p1_found": f"""
         SELECT DISTINCT 'parent' AS chunk_kind, id AS chunk_id FROM parent_chunks WHERE length(text) > {PARENT_LIMIT}
@@ -199,10 +209,7 @@ ORACLE: dict[str, str] = {
         WHERE t < mt AND (CASE WHEN a = ma AND na = 1 THEN 1 ELSE 0 END + CASE WHEN b = mb AND nb = 1 THEN 1 ELSE 0 END
                         + CASE WHEN c = mc AND nc = 1 THEN 1 ELSE 0 END + CASE WHEN d = md AND nd = 1 THEN 1 ELSE 0 END) >= 3""",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
-    "p9_found": r"""
-        WITH t AS (SELECT item_id, list_transform(regexp_extract_all(passage, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM eval_passages),
-        g AS (SELECT item_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM t WHERE len(w) >= 12)),
-        d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: lower(x)) AS w FROM documents WHERE text IS NOT NULL),
-        h AS (SELECT doc_id, array_to_string(w[i:i + 11], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12))
-        SELECT DISTINCT h.doc_id, g.item_id FROM h JOIN g ON h.k = g.k""",
+    "p9_found": f"{LEAKS} SELECT doc_id, item_id FROM b",
+    "p9_matches": f"{LEAKS} SELECT doc_id, item_id, n_words, word_position FROM b",
+    "p9_clean": f"{LEAKS} SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b)",
 }

@@ -367,6 +367,57 @@ def test_leaks_against_grams(docs, tests):
     assert got == {(k, i) for k, d in enumerate(docs) for i, t in enumerate(tests) if grams(d) & grams(t)}
 
 
+def longest_runs(texts, tests, least):
+    """Brute force: the longest common run of words of each text and test, the first of equal ones."""
+    out = set()
+    for k, d in enumerate(texts):
+        for i, t in tests:
+            best = (0, 0)
+            for p in range(len(d)):
+                for q in range(len(t)):
+                    n = 0
+                    while p + n < len(d) and q + n < len(t) and d[p + n] == t[q + n]:
+                        n += 1
+                    if n > best[0]:
+                        best = (n, p)
+            if best[0] >= least:
+                out.add((k, i, *best))
+    return out
+
+
+@given(st.lists(st.lists(st.sampled_from("abcx"), max_size=30), min_size=1, max_size=5), st.lists(st.lists(st.sampled_from("abc"), max_size=20), min_size=1, max_size=4))
+@settings(deadline=None)
+def test_longest_matches(docs, tests):
+    named = list(enumerate(tests))
+    got = leakage.matches([" ".join(d) for d in docs], leakage.Suffixes([(i, " ".join(t)) for i, t in named], 4))
+    assert len(got) == len(set(got)) and set(got) == longest_runs(docs, named, 4)
+
+
+def test_repeating_passages_take_linear_time():
+    """A passage that repeats itself, in documents that do so, too: its places are not multiplied."""
+    import time
+
+    took = []
+    for n in (2_000, 16_000):
+        t = time.time()
+        assert leakage.matches([("a b " * n)] * 3, leakage.Suffixes([(1, "a b " * n), (2, "b a " * n)], 12)) == [(k, i, 2 * n - (i == 2), 0) for k in range(3) for i in (1, 2)]
+        took.append(time.time() - t)
+    assert took[1] < 40 * took[0] + 1
+
+
+def test_blocks_of_tests_and_shards(spark, monkeypatch):
+    rng = random.Random(2)
+    ws = [f"w{i}" for i in range(300)]
+    tests = [(i, " ".join(rng.choice(ws) for _ in range(30))) for i in range(20)]
+    docs = [(k, "intro " + tests[k % 20][1][: 60 + 5 * k] + " end") for k in range(40)]
+    a, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(tests, "item_id int, passage string")
+    want = sorted(leakage.leaked_passages(a, b, 5).collect())
+    assert len({r.doc_id for r in want}) == 40
+    monkeypatch.setattr(leakage, "SHARD_CHARS", 150)
+    assert sorted(leakage.leaked_passages(a, b, 5, test_chars=700).collect()) == want
+    assert leakage.matches([d for _, d in docs], leakage.Suffixes(tests, 5)) == [(r.doc_id, r.item_id, r.n_words, r.word_position) for r in want]
+
+
 def test_leak_dirt(spark):
     p = "one two three four five six seven eight nine ten eleven twelve thirteen"
     docs = spark.createDataFrame([(1, f"x {p.upper().replace(' ', ', ')} y", "k"), (2, None, ""), (3, "", ""), (4, p.replace("seven", "sevén"), ""), (5, p.replace("six", "siK"), "")], "doc_id int, text string, passage string")
