@@ -102,6 +102,14 @@ def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
     return find(table(spark, d, "gold_records", "id", "split", "user_input", "reference")).pairs
 
 
+def p4_records(spark: SparkSession, d: str) -> DataFrame:
+    """Every record that overlaps one of the other side, with its partners' number and how much of it one of them covers."""
+    from .overlap import find
+
+    found = find(table(spark, d, "gold_records", "id", "split", "user_input", "reference"))
+    return found.coverage().where("n_partners > 0").withColumn("coverage", F.round("coverage", 6))
+
+
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
     from .overlap import find, report
 
@@ -181,7 +189,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return p10_repaired(spark, d).where((F.col("n_repaired") > 0) | (F.col("n_lost") > 0)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p2_search, p3_found, p3_repaired, p4_found, p4_pairs, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_neighbours, p2_search, p3_found, p3_repaired, p4_found, p4_pairs, p4_records, p4_report, p6_found, p6_labels, p7_found, p7_order, p8_ids, p8_decoded, p9_found, p9_matches, p9_clean, p10_found, p10_repaired)}
 
 # windows of 12 words that both sides have; consecutive ones with one distance are a match
 LEAKS = r"""

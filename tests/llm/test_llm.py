@@ -185,23 +185,82 @@ def test_hot_seeds_still_meet(spark):
     assert {(f"e{i:02d}", f"t{i:02d}") for i in range(60)} <= got
 
 
-def test_group_of_edited_copies_against_brute_force(spark):
-    """Every seed of a large group is frequent, and edits leave short ones only."""
+def links(rows):
+    """Brute force: all pairs across the splits that the verdict takes."""
+    texts = {i: [" ".join(overlap.words(x)) for x in f] for i, _, *f in rows}
+    return {tuple(sorted((i, j))) for i, s, *_ in rows for j, t, *_ in rows if s == "train" and t == "test" and overlap.compared(list(zip(texts[i], texts[j])))}
+
+
+def found_links(spark, rows):
+    return {(p.id_a, p.id_b) for p in overlap.find(spark.createDataFrame(rows, "id string, split string, user_input string, reference string")).id_pairs().collect()}
+
+
+@pytest.mark.parametrize("direct", [65_536, 100])
+def test_group_of_edited_copies_against_brute_force(spark, monkeypatch, direct):
+    """Every seed of a large group is frequent, and edits leave short ones only; joined one by one and in combinations."""
+    monkeypatch.setattr(overlap, "DIRECT", direct)
     rng = random.Random(4)
-    say = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(70)]
+    say = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(3, 10))) for _ in range(75)]
 
     def edited(ws):
-        return " ".join(w[:1] + rng.choice("xyz") + w[2:] if rng.random() < 0.05 else w for w in ws)
+        return " ".join(w[:1] + rng.choice("xyz") + w[2:] if rng.random() < 0.04 else w for w in ws)
 
-    rows = [(f"{side}{i:03d}", side, edited(say[:18]), edited(say[18:])) for side in ("train", "test") for i in range(100)]
+    rows = [(f"{side}{i:03d}", side, edited(say[:24]), edited(say[24:])) for side in ("train", "test") for i in range(40)]
     rows += [("other", "train", " ".join(say[:18]), " ".join(reversed(say[18:40])) + " and much else that is said nowhere"), ("short", "test", "yes", "no")]
-    want = {
-        tuple(sorted((i, j)))
-        for i, s, a, b in rows for j, t, c, d in rows
-        if s == "train" and t == "test" and all(overlap.left_over(overlap.words(x), overlap.words(y)) <= overlap.CHANGED for x, y in ((a, c), (b, d)))
-    }
-    got = {(p.id_a, p.id_b) for p in overlap.find(spark.createDataFrame(rows, "id string, split string, user_input string, reference string")).id_pairs().collect()}
-    assert got == want and len(want) > 9_900
+    want = links(rows)
+    got = found_links(spark, rows)
+    assert got == want and len(want) > 1_500
+
+
+@pytest.mark.parametrize("n", [5, 30])
+def test_every_pair_of_a_group_is_found(spark, n):
+    """Long shared phrases, and two of about fifty words that differ in each field."""
+    rng = random.Random(n)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    say = [[word() for _ in range(52)] for _ in range(2)]
+
+    def of(ws):
+        out = list(ws)
+        for k in rng.sample(range(52), 2):
+            out[k] = word()
+        return " ".join(out)
+
+    rows = [(f"{side}{i}", side, of(say[0]), of(say[1])) for side in ("train", "test") for i in range(n)]
+    assert found_links(spark, rows) == links(rows) == {tuple(sorted((f"train{i}", f"test{j}"))) for i in range(n) for j in range(n)}
+
+
+def test_words_are_aligned():
+    a = "the first module sends the frame at once. the second module stores its older entry of the table. both report to the gateway".replace(".", "").split()
+    turned = a[8:] + a[:8]
+    assert overlap.aligned(a, turned)[0] == 0
+    mixed = a[:]
+    random.Random(3).shuffle(mixed)
+    assert overlap.least_left_over(a, mixed) == 0 and overlap.aligned(a, mixed)[0] > overlap.CHANGED
+    assert overlap.aligned(a, a) == (0.0, 1.0, 1.0) and overlap.aligned([], a) == (1.0, 0.0, 0.0)
+    assert overlap.aligned(["question", *a], a)[0] == 0
+
+
+words_of = st.lists(st.sampled_from([w * k for w in "abcdefgh" for k in (1, 3, 5)]), min_size=1, max_size=30)
+
+
+@given(words_of, words_of, st.integers(0, 30))
+@settings(deadline=None)
+def test_bag_is_a_lower_bound(a, b, k):
+    for x, y in ((a, b), (a, a[k % len(a) :] + a[: k % len(a)] + b[:3])):
+        left, ca, cb = overlap.aligned(x, y)
+        assert overlap.least_left_over(x, y) <= left + 1e-9 and 0 <= ca <= 1 and 0 <= cb <= 1
+
+
+def test_coverage_and_report(spark):
+    q, r = " ".join(f"quest{i}" for i in range(20)), " ".join(f"word{i}" for i in range(50))
+    cut = " ".join(f"word{i}" for i in range(45))
+    rows = [("t1", "train", q, r, ["a", "b"]), ("t2", "train", q, r, ["a"]), ("e1", "dev", q, cut, ["a"]), ("e2", "test", q.upper(), r, None), ("e3", "test", "something else altogether here", r, ["b"]), ("t1", "train", q, r, ["a", "b"])]
+    df = spark.createDataFrame(rows, "id string, split string, user_input string, reference string, source_documents array<string>")
+    found = overlap.find(df)
+    got = {x.id: (x.n_partners, round(x.coverage, 3)) for x in found.coverage().collect()}
+    assert got == {"t1": (2, 1.0), "t2": (2, 1.0), "e1": (2, 1.0), "e2": (2, 1.0), "e3": (0, 0.0)}
+    rep = {(x.split, x.source): (x.n_records, x.n_overlapping, x.n_partners, x.coverage) for x in overlap.report(found, df).collect()}
+    assert rep == {("train", "a"): (2, 2, 4, 1.0), ("train", "b"): (1, 1, 2, 1.0), ("dev", "a"): (1, 1, 2, 1.0), ("test", None): (1, 1, 2, 1.0), ("test", "b"): (1, 0, 0, None)}
 
 
 @given(st.text(alphabet="abc", min_size=1, max_size=10), st.text(alphabet="abc", min_size=1, max_size=10))
