@@ -6,9 +6,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text as X
 
@@ -22,7 +25,7 @@ class Scorer(Protocol):
 
 
 class TokenOverlap:
-    """Stand-in: the share of the query's words that the text has; vectors of hashed words at length 1. Built-ins only."""
+    """Stand-in: the share of the query's words that the text has; vectors of hashed words at length 1."""
 
     name = "stand-in:token-overlap"
 
@@ -35,11 +38,25 @@ class TokenOverlap:
         return pairs.withColumn("score", F.coalesce(s, F.lit(0.0))).withColumn("scorer", F.lit(self.name))
 
     def encode(self, texts: DataFrame, text: str) -> DataFrame:
+        """A dimension holds how many of the text's distinct content words hash to it; null and empty texts are zero."""
         words = X.content_words(F.coalesce(F.col(text), F.lit("")))
-        at = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(self.dims)).cast("int"))
-        count = F.transform(F.sequence(F.lit(0), F.lit(self.dims - 1)), lambda i: F.size(F.filter(at, lambda x: x == i)).cast("double"))
-        norm = F.sqrt(F.reduce(count, F.lit(0.0), lambda s, x: s + x * x))
-        return texts.withColumn("vector", F.transform(count, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))).withColumn("scorer", F.lit(self.name))
+        at = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, F.lit(8)), 16, 10).cast("long") % self.dims)
+        src = texts.select("*", at.cast("array<int>").alias("_at"))
+        dims, name = self.dims, self.name
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = batch.column(batch.num_columns - 1)
+                row = np.repeat(np.arange(len(col)), np.diff(col.offsets.to_numpy()))
+                m = np.zeros((len(col), dims))
+                np.add.at(m, (row, col.flatten().to_numpy(zero_copy_only=False)), 1.0)
+                n = np.linalg.norm(m, axis=1, keepdims=True)
+                flat = pa.array((m / np.where(n > 0, n, 1)).ravel())
+                vector = pa.ListArray.from_arrays(pa.array(np.arange(len(col) + 1, dtype=np.int32) * dims), flat)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], vector, pa.array([name] * len(col), pa.string())], names=[*batch.schema.names[:-1], "vector", "scorer"])
+
+        schema = T.StructType([*texts.schema.fields, T.StructField("vector", T.ArrayType(T.DoubleType())), T.StructField("scorer", T.StringType())])
+        return src.mapInArrow(run, schema)
 
 
 def by_model(df: DataFrame, column: str, call: Callable[[list[str]], list[str | None]], out: str, batch: int = 32) -> DataFrame:

@@ -11,7 +11,7 @@ from ..runtime import table
 from .registry import query
 from .text import TOKENS_SQL
 
-E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q, label AS ql FROM e WHERE vec_id % 25 = 0)"
+E = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings), q AS (SELECT vec_id AS query_id, v AS q, label AS ql FROM e WHERE vec_id % 100 = 0)"
 PAIR = "s AS (SELECT query_id, vec_id AS item_id, round(list_dot_product(q, v) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(v, v))), 6) AS score, ql = label AS rel FROM e, q WHERE query_id <> vec_id)"
 DENSE = "d AS (SELECT * FROM (SELECT query_id, item_id, score, rel, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s) WHERE rank <= 20)"
 L1 = "l AS (SELECT * FROM (SELECT query_id, vec_id AS item_id, row_number() OVER (PARTITION BY query_id ORDER BY round(-list_sum(list_transform(list_zip(q, v), lambda z: abs(z[1] - z[2]))), 6) DESC, vec_id) AS rank FROM e, q WHERE query_id <> vec_id) WHERE rank <= 20)"
@@ -23,7 +23,7 @@ K = 20
 
 def vecs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
-    return e.where("vec_id % 25 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
+    return e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), e.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("v"))
 
 
 def top10(spark: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def top10(spark: SparkSession, d: str) -> DataFrame:
 def relevant(spark: SparkSession, d: str) -> DataFrame:
     lab = table(spark, d, "embeddings", "vec_id", "label")
     n = lab.groupBy("label").agg((F.count(F.lit(1)) - 1).alias("n_relevant"))
-    return lab.where("vec_id % 25 = 0").join(n, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
+    return lab.where("vec_id % 100 = 0").join(n, "label").select(F.col("vec_id").alias("query_id"), "n_relevant")
 
 
 @query("k01_dense_top", f"WITH {E}, {PAIR}, {DENSE} SELECT query_id, item_id, score, rank FROM d")
@@ -58,7 +58,7 @@ def w01(spark: SparkSession, d: str) -> DataFrame:
     return top10(spark, d).drop("rel")
 
 
-METRICS = """, r AS (SELECT vec_id AS query_id, (SELECT count(*) - 1 FROM embeddings y WHERE y.label = x.label) AS n FROM embeddings x WHERE vec_id % 25 = 0),
+METRICS = """, r AS (SELECT vec_id AS query_id, (SELECT count(*) - 1 FROM embeddings y WHERE y.label = x.label) AS n FROM embeddings x WHERE vec_id % 100 = 0),
     m AS (SELECT r.query_id, k, n, count(*) FILTER (t.rel) AS got, coalesce(sum(CASE WHEN t.rel THEN 1 / log2(t.rank + 1) END), 0) AS dcg FROM r CROSS JOIN (SELECT unnest([1, 3, 5, 10]) AS k) LEFT JOIN t ON t.query_id = r.query_id AND t.rank <= k GROUP BY ALL),
     w AS (SELECT query_id, k, got / k AS precision, got / n AS recall, (got >= n)::DOUBLE AS all_found, dcg / list_sum(list_transform(range(1, least(n, k) + 1), lambda j: 1 / log2(j + 1))) AS ndcg FROM m)"""
 
@@ -92,23 +92,23 @@ def w21(spark: SparkSession, d: str) -> DataFrame:
     return V.first_ranks(top10(spark, d)).select("query_id", "first_rank", "last_rank", F.round("mrr", 6).alias("mrr"), F.round("mrr_last", 6).alias("mrr_last"))
 
 
-@query("w02_second_fusion", BASE + ", h AS (SELECT query_id // 100 AS topic, item_id, rank, score FROM t) SELECT topic, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(score) AS best FROM h GROUP BY ALL")
+@query("w02_second_fusion", BASE + ", h AS (SELECT query_id // 300 AS topic, item_id, rank, score FROM t) SELECT topic, item_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, max(score) AS best FROM h GROUP BY ALL")
 def w02(spark: SparkSession, d: str) -> DataFrame:
     """Queries of one topic as hops: a second fusion of their rankings, with the best first score kept."""
-    return top10(spark, d).groupBy(F.floor(F.col("query_id") / 100).alias("topic"), "item_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), F.max("score").alias("best"))
+    return top10(spark, d).groupBy(F.floor(F.col("query_id") / 300).alias("topic"), "item_id").agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"), F.max("score").alias("best"))
 
 
-@query("w04_hop_dedup", BASE + ", h AS (SELECT query_id // 100 AS topic, query_id AS hop, item_id, score FROM t) SELECT topic, item_id, max(score) AS score, min(hop) AS first_hop FROM h GROUP BY ALL")
+@query("w04_hop_dedup", BASE + ", h AS (SELECT query_id // 300 AS topic, query_id AS hop, item_id, score FROM t) SELECT topic, item_id, max(score) AS score, min(hop) AS first_hop FROM h GROUP BY ALL")
 def w04(spark: SparkSession, d: str) -> DataFrame:
-    return top10(spark, d).groupBy(F.floor(F.col("query_id") / 100).alias("topic"), "item_id").agg(F.max("score").alias("score"), F.min("query_id").alias("first_hop"))
+    return top10(spark, d).groupBy(F.floor(F.col("query_id") / 300).alias("topic"), "item_id").agg(F.max("score").alias("score"), F.min("query_id").alias("first_hop"))
 
 
-@query("o01_union_pools", BASE + ", h AS (SELECT query_id // 100 AS topic, item_id, score FROM t) SELECT topic, item_id, max(score) AS score FROM h GROUP BY ALL")
+@query("o01_union_pools", BASE + ", h AS (SELECT query_id // 300 AS topic, item_id, score FROM t) SELECT topic, item_id, max(score) AS score FROM h GROUP BY ALL")
 def o01(spark: SparkSession, d: str) -> DataFrame:
     return w04(spark, d).drop("first_hop")
 
 
-@query("w20_coverage", BASE + """, h AS (SELECT query_id // 100 AS topic, query_id AS hop, item_id, score FROM t),
+@query("w20_coverage", BASE + """, h AS (SELECT query_id // 300 AS topic, query_id AS hop, item_id, score FROM t),
     b AS (SELECT topic, item_id, max(score) AS score, min(hop) AS hop FROM h GROUP BY ALL),
     o AS (SELECT *, row_number() OVER (PARTITION BY topic, hop ORDER BY score DESC, item_id) AS in_hop FROM b)
     SELECT topic, hop, item_id FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY in_hop > 1, score DESC, item_id) AS n FROM o) WHERE n <= 6""")
@@ -120,18 +120,10 @@ def w20(spark: SparkSession, d: str) -> DataFrame:
     return b.withColumn("n", n).where("n <= 6").select("topic", "hop", "item_id")
 
 
-@query("m01_cosine", f"WITH {E}, {PAIR} SELECT query_id, item_id, score FROM s WHERE item_id % 7 = 0")
+@query("m01_cosine", f"WITH {E}, {PAIR} SELECT query_id, item_id, score FROM s")
 def m01(spark: SparkSession, d: str) -> DataFrame:
-    """Cosines of the stated queries and every seventh vector (the feature shown is the function)."""
-    q, v = vecs(spark, d)
-    return v.where("item_id % 7 = 0").crossJoin(F.broadcast(q)).where("query_id <> item_id").select("query_id", "item_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score"))
-
-
-@query("m01_cosine_all", f"WITH {E}, {PAIR} SELECT query_id, item_id, score FROM s")
-def m01_all(spark: SparkSession, d: str) -> DataFrame:
     """Cosines of the stated queries and all vectors."""
-    q, v = vecs(spark, d)
-    return v.crossJoin(F.broadcast(q)).where("query_id <> item_id").select("query_id", "item_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    return V.scored(*vecs(spark, d))
 
 
 @query("m02_unit_vectors", "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), n AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS n FROM e) SELECT vec_id, round(list_sum(list_transform(v, lambda x: x / n)), 5) AS total FROM n")
@@ -199,8 +191,10 @@ def k02(spark: SparkSession, d: str) -> DataFrame:
     rows, freq = idf(spark, d)
     q = table(spark, d, "hybrid_rows", "row_id", "query").where("row_id % 100 = 0").dropDuplicates(["row_id"])
     qt = V.token_rows(q, "row_id", "query").select("row_id", "token", (F.col("n") / F.col("total")).alias("qf"))
-    w = rows.join(freq, "token").select("doc_id", "token", (F.col("n") / F.col("total") * F.col("idf")).alias("w"), "idf")
-    s = w.join(F.broadcast(qt), "token").groupBy("row_id", "doc_id").agg(F.round(F.sum(F.col("qf") * F.col("idf") * F.col("w")), 6).alias("score"))
+    # rows of other tokens end here, before any shuffle if the queries' tokens are few enough to be broadcast
+    mine = rows.join(qt.select("token").distinct(), "token", "left_semi")
+    w = mine.join(freq.join(qt, "token"), "token").select("row_id", "doc_id", (F.col("qf") * F.col("idf") * (F.col("n") / F.col("total") * F.col("idf"))).alias("part"))
+    s = w.groupBy("row_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
     return V.ranked(s, query="row_id", item="doc_id", k=10)
 
 
@@ -219,17 +213,13 @@ def k03(spark: SparkSession, d: str) -> DataFrame:
     SELECT query_id, vec_id AS item_id, round(list_sum(list_transform(qm, lambda a: list_max(list_transform(m, lambda b: list_dot_product(a, b))))), 5) AS score FROM p, q WHERE query_id <> vec_id""")
 def k04(spark: SparkSession, d: str) -> DataFrame:
     """Max-sim between vectors taken as eight short ones each."""
-    parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, F.lit(8)))
-    p = table(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", parts.alias("m"))
-    q = p.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("m").alias("qm"))
-    return p.crossJoin(F.broadcast(q)).where("query_id <> vec_id").select("query_id", F.col("vec_id").alias("item_id"), F.round(V.max_sim(F.col("qm"), F.col("m")), 5).alias("score"))
+    return V.scored(*vecs(spark, d), V.late_interaction(8), digits=5)
 
 
 @query("jn11_cosine_join", f"WITH {E}, {PAIR} SELECT query_id, item_id FROM s WHERE score >= 0.3")
 def jn11(spark: SparkSession, d: str) -> DataFrame:
     """A stated set of queries against all vectors by a cosine threshold."""
-    q, v = vecs(spark, d)
-    return v.crossJoin(F.broadcast(q)).where("query_id <> item_id").select("query_id", "item_id", F.round(V.cosine(F.col("q"), F.col("v")), 6).alias("score")).where("score >= 0.3").drop("score")
+    return V.scored(*vecs(spark, d), least=0.3).drop("score")
 
 
 @query("jn23_whole_context", """
@@ -240,7 +230,7 @@ def jn23(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings", "vec_id", "embedding", "label")
     mean = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     c = mean.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
-    return e.join(F.broadcast(c), "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("c")), 5).alias("score"))
+    return e.join(c, "label").select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("c")), 5).alias("score"))
 
 
 @query("m03_jaccard", f"""WITH g AS (SELECT DISTINCT ON (id) id, {TOKENS_SQL.replace('@', 'user_input')} AS a, {TOKENS_SQL.replace('@', 'reference')} AS b FROM gold_records WHERE reference IS NOT NULL)
@@ -273,8 +263,8 @@ def a03(spark: SparkSession, d: str) -> DataFrame:
     return g.select("kind", "n", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6).alias("rate"))
 
 
-@query("a28_union_first_seen", BASE + ", h AS (SELECT query_id // 100 AS topic, item_id, min(struct_pack(a := query_id, b := rank)) AS f FROM t GROUP BY ALL) SELECT topic, string_agg(item_id::VARCHAR, ',' ORDER BY f.a, f.b) AS items FROM h GROUP BY topic")
+@query("a28_union_first_seen", BASE + ", h AS (SELECT query_id // 300 AS topic, item_id, min(struct_pack(a := query_id, b := rank)) AS f FROM t GROUP BY ALL) SELECT topic, string_agg(item_id::VARCHAR, ',' ORDER BY f.a, f.b) AS items FROM h GROUP BY topic")
 def a28(spark: SparkSession, d: str) -> DataFrame:
     """The items of all sub-queries of a topic, each once, in order of first sight."""
-    h = top10(spark, d).groupBy(F.floor(F.col("query_id") / 100).alias("topic"), "item_id").agg(F.min(F.struct("query_id", "rank")).alias("f"))
+    h = top10(spark, d).groupBy(F.floor(F.col("query_id") / 300).alias("topic"), "item_id").agg(F.min(F.struct("query_id", "rank")).alias("f"))
     return h.groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("f", "item_id"))), lambda s: s["item_id"].cast("string")), ",").alias("items"))

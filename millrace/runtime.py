@@ -16,10 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or the context's own, or (in tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or the context's own. Without one, a temporary folder where
+    driver and executors are one process (a local master, as in tests), and an error on a cluster."""
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="millrace-")
         sc.setCheckpointDir(at)
     return at.rstrip("/")
