@@ -192,22 +192,6 @@ def pad_rows(rows: Column) -> Column:
     return F.transform(rows, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), F.greatest(n, F.lit(0)))), F.lit(1), F.greatest(n, F.lit(0))))
 
 
-def truncate_repeats(c: Column, unit: int = 10, times: int = 10, longest: int = 20_000) -> Column:
-    """A unit of at least `unit` characters that follows itself `times` times is kept once, and what follows is cut. Texts
-    over `longest` characters are looked at line by line only (see `cut_dominant_line`), as back references are slow."""
-    return F.when(F.length(c) <= longest, F.regexp_replace(c, rf"(?s)(.{{{unit},200}}?)\1{{{times - 1},}}.*$", "$1")).otherwise(c)
-
-
-def cut_dominant_line(c: Column, least: int = 10, share: float = 0.8) -> Column:
-    """If one line makes most of a text of at least `least` lines, the text ends with its first."""
-    ls = F.filter(F.transform(lines(c), strip), lambda x: x != "")
-    n = F.size(ls)
-    counts = F.transform(F.array_distinct(ls), lambda x: F.struct(F.size(F.filter(ls, lambda y: y == x)).alias("n"), x.alias("line")))
-    top = F.reduce(counts, F.struct(F.lit(0).alias("n"), F.lit("").alias("line")), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))
-    at = F.array_position(ls, top["line"]).cast("int")
-    return F.when((n >= least) & (top["n"] >= share * n), unlines(F.slice(ls, F.lit(1), at))).otherwise(c)
-
-
 def formula_number(c: Column) -> Column:
     t = strip(c)
     inner = F.regexp_extract(t, r"^[(（](.*)[)）]$", 1)

@@ -52,11 +52,11 @@ def c04(spark: SparkSession, d: str) -> DataFrame:
 
 @query("c06_heading_split", rf"""
     WITH l AS (SELECT doc_id, i, s[i] AS line FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, string_split(replace(text, chr(13), ''), chr(10)) AS s FROM documents WHERE text IS NOT NULL)))
-    SELECT doc_id, i::INTEGER - 1 AS line_no, left(line, 200) AS heading FROM l WHERE regexp_full_match(line, '{_HEAD}') AND length(trim(line)) > 3""")
+    SELECT doc_id, i::INTEGER - 1 AS line_no, line AS heading FROM l WHERE regexp_full_match(line, '{_HEAD}') AND length(trim(line)) > 3""")
 def c06(spark: SparkSession, d: str) -> DataFrame:
     ls = F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1)
     t = docs(spark, d).select("doc_id", F.posexplode(ls).alias("line_no", "line"))
-    return t.where(F.col("line").rlike(f"^{_HEAD}$") & (F.length(F.trim("line")) > 3)).select("doc_id", "line_no", F.left("line", F.lit(200)).alias("heading"))
+    return t.where(F.col("line").rlike(f"^{_HEAD}$") & (F.length(F.trim("line")) > 3)).select("doc_id", "line_no", F.col("line").alias("heading"))
 
 
 @query("c05_bookmark_split", """

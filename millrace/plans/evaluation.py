@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.scorers import TokenOverlap
 from ..operators import boxes as B
 from ..operators import evaluation as V
+from ..operators import leaves as L
 from ..runtime import table
 from .registry import query
+from .text import WORDS_SQL
 
 G = "g AS (SELECT DISTINCT ON (id) * FROM gold_records)"
 TR = "t AS (SELECT DISTINCT ON (row_id) * FROM tree_rows)"
@@ -74,7 +77,7 @@ def a18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a19_paired_bootstrap")
 def a19(spark: SparkSession, d: str) -> DataFrame:
-    return V.bootstrap(a18(spark, d).select((F.col("hybrid") - F.col("tree")).alias("delta")), rounds=2000)
+    return V.bootstrap(a18(spark, d).select("query", (F.col("hybrid") - F.col("tree")).alias("delta")), key="query", rounds=2000)
 
 
 @query("a20_winner")
@@ -116,8 +119,16 @@ def jn10(spark: SparkSession, d: str) -> DataFrame:
 
 @query("m06_miss_taxonomy")
 def m06(spark: SparkSession, d: str) -> DataFrame:
-    """Misses of the fuzzy join by kind."""
-    return jn10(spark, d).groupBy(F.when(F.col("matched"), "found").otherwise("wrong_chunk").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """Expected chunks that are not among the three best of a row, by why: their texts against the three and the rest."""
+    chunk = table(spark, d, "child_chunks", "id", "raw_text", "filename").dropDuplicates(["id"])
+    c = hybrid(spark, d).select("row_id", F.explode("context_chunks").alias("c")).select("row_id", "c.source_id", "c.text", "c.score")
+    c = c.join(chunk.select(F.col("id").alias("source_id"), "filename"), "source_id", "left")
+    c = c.withColumn("n", F.row_number().over(Window.partitionBy("row_id").orderBy(F.desc_nulls_last("score"), "source_id")))
+    best = lambda near: F.collect_list(F.when(near, F.struct("text", "filename")))
+    lists = c.groupBy("row_id").agg(best(F.col("n") <= 3).alias("retrieved"), best(F.col("n") > 3).alias("pool"), F.collect_set(F.when(F.col("n") <= 3, F.col("source_id"))).alias("ids"))
+    want = hybrid(spark, d).select("row_id", F.explode("expected_chunks").alias("id")).join(lists, "row_id").where(~F.array_contains("ids", F.col("id")))
+    missed = want.join(chunk.select("id", "raw_text"), "id").where("raw_text IS NOT NULL")
+    return V.miss_kinds(missed, ("row_id", "id"), "raw_text", "retrieved", "pool")
 
 
 @query("m04_ratio")
@@ -159,13 +170,6 @@ def jn19(spark: SparkSession, d: str) -> DataFrame:
     return c.join(p, "parent_id", "left").select("id", F.contains(F.lower(F.coalesce("text", "raw_text", F.lit(""))), F.lower("section_title")).alias("found"))
 
 
-@query("a14_body_size", "SELECT l_returnflag, size FROM (SELECT l_returnflag, size, row_number() OVER (PARTITION BY l_returnflag ORDER BY chars DESC, size) AS r FROM (SELECT l_returnflag, CAST(l_quantity AS INTEGER) AS size, sum(length(CAST(l_partkey AS VARCHAR))) AS chars FROM lineitem GROUP BY 1, 2)) WHERE r = 1")
-def a14(spark: SparkSession, d: str) -> DataFrame:
-    """The size that holds most characters (of line items, as spans of a document)."""
-    t = table(spark, d, "lineitem", "l_returnflag", "l_quantity", "l_partkey").groupBy("l_returnflag", F.col("l_quantity").cast("int").alias("size")).agg(F.sum(F.length(F.col("l_partkey").cast("string"))).alias("chars"))
-    return t.groupBy("l_returnflag").agg(F.max(F.struct("chars", -F.col("size"), "size"))["size"].alias("size"))
-
-
 @query("a23_status_counts", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
 def a23(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events", "event_type").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"))
@@ -227,36 +231,6 @@ def jn21(spark: SparkSession, d: str) -> DataFrame:
     return hybrid(spark, d).select("row_id", F.explode(hits).alias("topic"))
 
 
-@query("w13_fill_forward", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN value END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_purchase FROM events")
-def w13(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return table(spark, d, "events", "event_id", "event_type", "value", "user_id", "ts").select("event_id", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w).alias("last_purchase"))
-
-
-@query("w14_between_bullets", "SELECT event_id, lag(event_type) OVER w = 'click' AND lead(event_type) OVER w = 'click' AND event_type <> 'click' AS filled FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
-def w14(spark: SparkSession, d: str) -> DataFrame:
-    """A row between two of a kind (as a line between two bullets)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = F.col("event_type")
-    return table(spark, d, "events", "event_id", "event_type", "user_id", "ts").select("event_id", ((F.lag(t).over(w) == "click") & (F.lead(t).over(w) == "click") & (t != "click")).alias("filled"))
-
-
-@query("w17_caption_merge", "SELECT event_id, lead(event_id) OVER w AS caption_id FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id) QUALIFY event_type = 'view' AND lead(event_type) OVER w = 'click'")
-def w17(spark: SparkSession, d: str) -> DataFrame:
-    """A figure and the caption right after it (as events)."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = table(spark, d, "events", "event_id", "event_type", "user_id", "ts").select("event_id", "event_type", F.lead("event_id").over(w).alias("caption_id"), F.lead("event_type").over(w).alias("nxt"))
-    return t.where("event_type = 'view' AND nxt = 'click'").select("event_id", "caption_id")
-
-
-@query("w19_columns", "WITH g AS (SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_partkey - lag(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) > 150 THEN 1 ELSE 0 END AS gap FROM lineitem) SELECT l_orderkey, l_linenumber, CAST(sum(gap) OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber) AS BIGINT) AS column_no FROM g")
-def w19(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of a page as runs without a wide gap (of part numbers, as x positions)."""
-    w = Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber")
-    gap = F.when(F.col("l_partkey") - F.lag("l_partkey").over(w) > 150, 1).otherwise(0)
-    return table(spark, d, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").withColumn("gap", gap).select("l_orderkey", "l_linenumber", F.sum("gap").over(w).alias("column_no"))
-
-
 @query("w23_heading_dedup", "WITH c AS (SELECT DISTINCT ON (id) id, filename, page_number, section_title, child_index FROM child_chunks WHERE filename IS NOT NULL AND page_number IS NOT NULL) SELECT filename, page_number, arg_max(section_title, id) AS heading, count(*) AS n FROM c WHERE section_title IS NOT NULL GROUP BY ALL")
 def w23(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "child_chunks", "id", "filename", "page_number", "section_title").dropDuplicates(["id"]).where("filename IS NOT NULL AND page_number IS NOT NULL AND section_title IS NOT NULL")
@@ -308,7 +282,10 @@ def k17(spark: SparkSession, d: str) -> DataFrame:
     return B.suppressed(boxes(spark, d), "l_orderkey", "l_linenumber", "l_returnflag", "l_extendedprice", "box")
 
 
-@query("k18_containment")
+@query("k18_containment", f"""WITH x AS (SELECT l_orderkey, l_linenumber AS l, {BOX} AS b FROM lineitem),
+    p AS (SELECT x.l_orderkey, x.l, x.b AS a, y.b AS b FROM x JOIN x y ON x.l_orderkey = y.l_orderkey AND x.l <> y.l),
+    i AS (SELECT DISTINCT l_orderkey, l FROM p WHERE greatest(0, least(a[3], b[3]) - greatest(a[1], b[1])) * greatest(0, least(a[4], b[4]) - greatest(a[2], b[2])) >= 0.8 * (a[3] - a[1]) * (a[4] - a[2]))
+    SELECT x.l_orderkey, x.l AS l_linenumber FROM x ANTI JOIN i ON x.l_orderkey = i.l_orderkey AND x.l = i.l""")
 def k18(spark: SparkSession, d: str) -> DataFrame:
     """Boxes that lie to four fifths in another of their page are left out."""
     x = boxes(spark, d)
@@ -326,6 +303,56 @@ def j01(spark: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", F.from_json(found, "k bigint")["k"].alias("k"))
 
 
+@query("j10_first_object", "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def j10(spark: SparkSession, d: str) -> DataFrame:
+    """The first balanced object of a text with braces before, in strings and after it."""
+    wrapped = F.concat(F.lit('As asked: {"a": "}{\\"", "b": {"x": '), "props", F.lit('}} and then {"k": -1}'))
+    t = table(spark, d, "events", "event_id", "props").select("event_id", wrapped.alias("raw"))
+    return V.first_objects(t, ("event_id",), "raw").select("event_id", F.from_json("object", "b struct<x: struct<k: bigint>>")["b"]["x"]["k"].alias("k"))
+
+
+@query("jn16_semantic_first")
+def jn16(spark: SparkSession, d: str) -> DataFrame:
+    """Questions of a synthesizer and persona that are not like an earlier one, by the stand-in encoder's vectors."""
+    g = gold(spark, d).select("id", "user_input", F.concat_ws("|", "synthesizer_name", "persona", F.get("source_documents", F.lit(0))).alias("maker"))
+    return V.semantic_first(TokenOverlap().encode(g, "user_input"), "maker", "id").select("id")
+
+
+@query("k05_rerank", f"""
+    WITH {HY}, c AS (SELECT row_id, query, x.source_id AS source_id, x.text AS text, x.hop_index AS hop FROM (SELECT row_id, query, unnest(context_chunks) AS x FROM h)),
+    e AS (SELECT row_id, arg_min(text, source_id) AS evidence FROM c WHERE coalesce(hop, 0) = 0 AND text IS NOT NULL GROUP BY row_id),
+    a AS (SELECT c.*, CASE WHEN hop >= 1 AND coalesce(evidence, '') <> '' THEN query || chr(10) || chr(10) || 'Bridge evidence from prior step:' || chr(10) || evidence ELSE query END AS asked FROM c LEFT JOIN e USING (row_id)),
+    w AS (SELECT row_id, source_id, {WORDS_SQL.replace('@', 'asked')} AS q, {WORDS_SQL.replace('@', 'text')} AS t FROM a),
+    s AS (SELECT row_id, source_id, CASE WHEN len(q) > 0 THEN len(list_intersect(q, t)) / len(q) ELSE 0 END AS score FROM w)
+    SELECT row_id, source_id, round(score, 6) AS score, place FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, source_id) AS place FROM s) WHERE place <= 3""")
+def k05(spark: SparkSession, d: str) -> DataFrame:
+    """The three best chunks of each row by the stand-in scorer, those of later hops against the first hop's evidence too."""
+    c = hybrid(spark, d).select("row_id", "query", F.explode("context_chunks").alias("x")).select("row_id", "query", "x.source_id", "x.text", "x.hop_index")
+    e = c.where((F.coalesce("hop_index", F.lit(0)) == 0) & F.col("text").isNotNull()).groupBy("row_id").agg(F.min_by("text", "source_id").alias("evidence"))
+    return V.rerank(c.join(e, "row_id", "left"), TokenOverlap(), 3, keys=("row_id",), item="source_id").select("row_id", "source_id", F.round("rerank_score", 6).alias("score"), "place")
+
+
+@query("jn17_aligned_leaves")
+def jn17(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves of structure files against those of the same files with a changed value and a moved path here and there."""
+    return L.align(_leaves(spark, d), _changed(spark, d, 5)).select("doc_id", "place", "path", "predicted_path", "status")
+
+
+@query("jn18_aligned_three")
+def jn18(spark: SparkSession, d: str) -> DataFrame:
+    return L.align_three(_leaves(spark, d), _changed(spark, d, 5), _changed(spark, d, 7)).select("doc_id", "place", "path", "first_path", "first_status", "second_path", "second_status")
+
+
+def _leaves(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("path")
+    return j04(spark, d).where("value IS NOT NULL").groupBy("doc_id", "path").agg(F.min("value").alias("value")).withColumn("place", F.row_number().over(w))
+
+
+def _changed(spark: SparkSession, d: str, n: int) -> DataFrame:
+    k = F.pmod(F.xxhash64("path"), F.lit(n))
+    return _leaves(spark, d).where(k != 0).select("doc_id", "place", F.when(k == 1, F.concat(F.lit("moved."), "path")).otherwise(F.col("path")).alias("path"), F.when(k == 2, F.concat("value", F.lit(" changed"))).otherwise(F.col("value")).alias("value"))
+
+
 @query("j02_repaired_json", "SELECT event_id, TRY_CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def j02(spark: SparkSession, d: str) -> DataFrame:
     """Thoughts, None and trailing commas removed before reading."""

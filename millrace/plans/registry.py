@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from . import chunks, dataset, evaluation, nested, retrieval, sources, text, trees  # noqa: F401
+    from . import chunks, dataset, evaluation, layout, nested, retrieval, sources, text, trees  # noqa: F401

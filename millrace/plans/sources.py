@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.scorers import TokenOverlap
+from ..operators import leaves as L
 from ..operators import trees as T
 from ..runtime import shared_dir, table
 from ..sources import files as S
 from ..streaming import tasks
 from .nested import p5_nodes
 from .registry import query
+from .text import WORDS_SQL
 
 DOC = "doc_id bigint, text string, source string"
 
@@ -75,20 +77,6 @@ def s07(spark: SparkSession, d: str) -> DataFrame:
     return t.select("row_id", F.explode(S.ranked_contexts(F.col("context_chunks"))).alias("c")).select("row_id", "c.source_id", F.round("c.score", 6).alias("score"))
 
 
-@query("s10_text_files", "SELECT source, count(*) AS n FROM documents WHERE text IS NOT NULL AND source IS NOT NULL GROUP BY source")
-def s10(spark: SparkSession, d: str) -> DataFrame:
-    """Texts written as files by source and found again by suffix."""
-    path = _path(spark, "texts")
-    docs(spark, d).where("text IS NOT NULL AND source IS NOT NULL").select(F.col("source").alias("folder"), F.to_json(F.struct("doc_id")).alias("value")).write.partitionBy("folder").text(path)
-    t = S.read_texts(spark, path)
-    return t.select(F.url_decode(F.regexp_extract("path", "folder=([^/]+)/", 1)).alias("source"), F.explode(F.filter(X.lines(F.col("text")), lambda x: x != "")).alias("line")).groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("s12_discovery", "SELECT DISTINCT source FROM documents WHERE text IS NOT NULL AND source IS NOT NULL")
-def s12(spark: SparkSession, d: str) -> DataFrame:
-    return s10(spark, d).select("source")
-
-
 @query("s13_flat_elements", """
     WITH f AS (SELECT DISTINCT ON (id) id, filename, page_number, text FROM parent_chunks WHERE text IS NOT NULL AND page_number IS NOT NULL)
     SELECT id, page_number AS page, i::INTEGER - 1 AS pos FROM (SELECT id, page_number, unnest(range(1, len(string_split(text, chr(10) || chr(10))) + 1)) AS i FROM f)""")
@@ -160,23 +148,80 @@ def s22(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.schema("id string, user_input string").option("header", True).option("sep", "\t").option("ignoreTrailingWhiteSpace", False).csv(path)
 
 
-@query("s23_combine_metrics", "SELECT event_type AS name, count(*) AS total FROM events GROUP BY 1")
+def _passage_files(spark: SparkSession, d: str) -> str:
+    """The test passages as a text file each, in a folder each."""
+    path = _path(spark, "texts")
+    table(spark, d, "eval_passages", "item_id", "passage").where("passage IS NOT NULL").select("passage", F.col("item_id").alias("item")).write.partitionBy("item").option("lineSep", "\n").text(path)
+    return path
+
+
+ITEM = F.regexp_extract("path", "item=([^/]+)/", 1).cast("long").alias("item_id")
+
+
+@query("s10_text_files", "SELECT item_id, md5(passage) AS content, 'txt' AS kind FROM eval_passages WHERE passage IS NOT NULL")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts written as files and read again by what their suffix says."""
+    return S.read_documents(spark, _passage_files(spark, d)).select(ITEM, F.md5(F.regexp_replace("text", r"\n$", "")).alias("content"), "kind")
+
+
+@query("s11_page_tokens", "SELECT DISTINCT ON (id) id, filename, page_number AS page, greatest(1, length(text) // 4)::INTEGER AS tokens FROM parent_chunks WHERE text IS NOT NULL AND filename IS NOT NULL AND page_number IS NOT NULL")
+def s11(spark: SparkSession, d: str) -> DataFrame:
+    """Pages of files with their tokens."""
+    t = table(spark, d, "parent_chunks", "id", "filename", "page_number", "text").where("text IS NOT NULL AND filename IS NOT NULL AND page_number IS NOT NULL").dropDuplicates(["id"])
+    return S.page_tokens(t, "page_number", "text").select("id", "filename", F.col("page_number").alias("page"), "tokens")
+
+
+@query("s12_discovery", "SELECT item_id FROM eval_passages WHERE passage IS NOT NULL")
+def s12(spark: SparkSession, d: str) -> DataFrame:
+    """All text files below a folder, however deep."""
+    return S.find_files(spark, _passage_files(spark, d), (".txt",)).select(ITEM)
+
+
+@query("s23_combine_metrics", """
+    SELECT coalesce(synthesizer_name, '__HIVE_DEFAULT_PARTITION__') AS source, false AS skipped, count(*) AS n, round(avg(scores.faithfulness), 6) AS faithfulness FROM (SELECT DISTINCT ON (id) * FROM gold_records) GROUP BY synthesizer_name
+    UNION ALL SELECT 'without', true, NULL, NULL""")
 def s23(spark: SparkSession, d: str) -> DataFrame:
+    """A summary file for each way of making questions, and one file without a summary."""
     path = _path(spark, "summaries")
-    table(spark, d, "events", "event_type").groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("total")).select(F.struct("name", "total").alias("summary")).write.json(path)
-    return spark.read.schema("summary struct<name:string,total:bigint>").json(path).select("summary.*")
+    g = table(spark, d, "gold_records", "id", "synthesizer_name", "scores").dropDuplicates(["id"])
+    g = g.groupBy(F.col("synthesizer_name").alias("source")).agg(F.count(F.lit(1)).alias("n"), F.avg("scores.faithfulness").alias("faithfulness"))
+    g.select("source", F.struct("n", "faithfulness").alias("summary")).write.partitionBy("source").json(path)
+    spark.range(1).select(F.lit("without").alias("source"), F.lit("no summary").alias("remark")).write.mode("append").partitionBy("source").json(path)
+    t = S.combine_summaries(spark, [path], "struct<n: bigint, faithfulness: double>")
+    return t.select(F.url_decode(F.regexp_extract("file", "source=([^/]+)/", 1)).alias("source"), "skipped", "n", F.round("faithfulness", 6).alias("faithfulness"))
 
 
-@query("s24_sheet_paths", "SELECT n_nationkey AS row_no, r_name || '.' || n_name AS path FROM nation JOIN region ON n_regionkey = r_regionkey")
+KEY_SQL = "trim(regexp_replace(lower(regexp_replace(trim(@), '&', 'and', 'g')), '[^a-z0-9]+', '_', 'g'), '_')"
+SHEET = """
+    s AS (SELECT o_orderkey AS row_no, CASE WHEN o_orderkey % 50 = 1 THEN 'Section ' || o_orderpriority END AS section, CASE WHEN o_orderkey % 10 = 1 THEN 'Group & ' || o_orderstatus END AS grp,
+          CASE WHEN o_orderkey % 4 <> 2 THEN 'Key-' || o_custkey END AS k, CASE WHEN o_orderkey % 8 < 6 THEN o_orderdate::VARCHAR ELSE 'NaN' END AS v FROM orders)"""
+
+
+def _sheet(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a sheet whose sections and groups stand in the first of their rows only."""
+    n = F.col("o_orderkey")
+    return table(spark, d, "orders", "o_orderkey", "o_orderpriority", "o_orderstatus", "o_custkey", "o_orderdate").select(
+        n.alias("row_no"), F.when(n % 50 == 1, F.concat(F.lit("Section "), "o_orderpriority")).alias("section"), F.when(n % 10 == 1, F.concat(F.lit("Group & "), "o_orderstatus")).alias("grp"),
+        F.when(n % 4 != 2, F.concat(F.lit("Key-"), F.col("o_custkey").cast("string"))).alias("k"), F.when(n % 8 < 6, F.col("o_orderdate").cast("string")).otherwise("NaN").alias("v"))
+
+
+@query("s24_sheet_paths", f"""
+    WITH {SHEET}, f AS (SELECT *, last_value(section IGNORE NULLS) OVER w AS fs, last_value(grp IGNORE NULLS) OVER w AS fg FROM s WINDOW w AS (ORDER BY row_no)),
+    p AS (SELECT row_no, k IS NOT NULL AND v <> 'NaN' AS deep, grp IS NOT NULL AND k IS NOT NULL AS flat, {KEY_SQL.replace('@', 'fs')} AS a, {KEY_SQL.replace('@', 'fg')} AS b, {KEY_SQL.replace('@', 'k')} AS c, k, v FROM f)
+    SELECT row_no, CASE WHEN deep THEN concat_ws('.', a, b, c) ELSE concat_ws('.', a, b) END AS path, CASE WHEN deep THEN v ELSE k END AS value FROM p WHERE deep OR flat""")
 def s24(spark: SparkSession, d: str) -> DataFrame:
-    n, r = table(spark, d, "nation", "n_nationkey", "n_name", "n_regionkey"), table(spark, d, "region", "r_regionkey", "r_name")
-    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("row_no"), F.concat_ws(".", "r_name", "n_name").alias("path"))
+    return L.grouped_sheet(_sheet(spark, d), "row_no", ("section", "grp", "k", "v"))
 
 
-@query("s25_level_columns", "SELECT DISTINCT c_custkey, r_name || '.' || n_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+@query("s25_level_columns", f"""
+    WITH {SHEET}, p AS (SELECT row_no, concat_ws('.', {KEY_SQL.replace('@', 'section')}, {KEY_SQL.replace('@', 'grp')}, {KEY_SQL.replace('@', 'k')}) AS path, CASE WHEN v = 'NaN' THEN '' ELSE v END AS value FROM s)
+    SELECT row_no, path, value FROM p WHERE path <> ''
+    UNION ALL SELECT row_no, replace({KEY_SQL.replace('@', 'k')}, '_', '.'), CASE WHEN v = 'NaN' THEN '' ELSE v END FROM s WHERE k IS NOT NULL""")
 def s25(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer", "c_custkey", "c_nationkey")
-    return c.join(s24(spark, d).withColumnRenamed("row_no", "c_nationkey"), "c_nationkey").select("c_custkey", "path")
+    """Both kinds of prediction sheets: levels in columns, and one path column."""
+    s = _sheet(spark, d)
+    a = L.flat_sheet(s.select("row_no", F.col("section").alias("L1"), F.col("grp").alias("L2"), F.col("k").alias("L3"), F.col("v").alias("Value")), "row_no")
+    return a.unionByName(L.flat_sheet(s.select("row_no", F.col("k").alias("Path"), F.col("v").alias("Value")), "row_no"))
 
 
 @query("s26_audit", "SELECT source, count(*) AS rows, count(*) FILTER (text IS NULL OR length(trim(text, ' ')) = 0) AS empty, sum(length(text))::BIGINT AS chars FROM documents GROUP BY ROLLUP (source)")
@@ -189,9 +234,6 @@ def s27(spark: SparkSession, d: str) -> DataFrame:
     return S.registry(p5_nodes(spark, d).where(T.depth(F.col("node_path")) == 1))
 
 
-WORDS_SQL = "list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(@, ''), '[A-Za-z][A-Za-z0-9_]*'), lambda x: lower(x)), lambda x: length(x) > 2 AND x NOT IN (" + ", ".join(f"'{w}'" for w in X.STOPWORDS) + ")))"
-
-
 @query("u01_encoder", f"""
     WITH w AS (SELECT doc_id, {WORDS_SQL.replace('@', 'text')} AS ws FROM documents), b AS (SELECT doc_id, CAST('0x' || left(md5(unnest(ws)), 8) AS BIGINT) % 64 AS dim FROM w),
     c AS (SELECT doc_id, dim, count(*) AS n FROM b GROUP BY ALL), n AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY doc_id)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions import unicode as U
+from ..operators import repeats as R
 from ..runtime import table
 from .registry import query
 
@@ -101,8 +102,26 @@ _ROWS = r"list_filter(list_transform(list_filter(list_transform(string_split(@,
 _PIPED = "len(list_filter(string_split(@, chr(10)), lambda x: contains(x, '|')))"
 scalar("t20_table_header", lambda c: F.array_join(F.get(X.table_rows(c), F.lit(0)), "|"), f"CASE WHEN {_PIPED} >= 2 THEN array_to_string(({_ROWS})[1], '|') END")
 scalar("t20_table_cells", lambda c: F.coalesce(F.size(X.table_rows(c)) * F.size(F.get(X.table_rows(c), F.lit(0))), F.lit(-1)), f"coalesce(CASE WHEN {_PIPED} >= 2 THEN CAST(len({_ROWS}) * len(({_ROWS})[1]) AS INTEGER) END, -1)")
-scalar("t22_repeats", X.truncate_repeats, None)
-scalar("t23_dominant_line", X.cut_dominant_line, None)
+
+
+@query("t22_repeats")
+def t22(spark: SparkSession, d: str) -> DataFrame:
+    return R.truncate_repeats(table(spark, d, "documents", "doc_id", "text")).select("doc_id", F.md5("text").alias("content"))
+
+
+@query("t23_dominant_line", rf"""
+    WITH d AS (SELECT doc_id, text || chr(10) || repeat('same line' || chr(10), doc_id % 3 * 60) || text AS text FROM documents), l AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM d),
+    u AS (SELECT doc_id, unnest(ls) AS x, unnest(range(len(ls))) AS i FROM l), k AS (SELECT doc_id, {S('x')} AS x, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM u WHERE {S('x')} <> ''),
+    c AS (SELECT doc_id, x, count(*) AS c, min(n) AS f, sum(count(*)) OVER (PARTITION BY doc_id) AS total FROM k GROUP BY doc_id, x), t AS (SELECT doc_id, arg_max(x, (c, -f)) AS x, max(c) AS c, any_value(total) AS total FROM c GROUP BY doc_id),
+    r AS (SELECT *, lead(x) OVER (PARTITION BY doc_id ORDER BY n) AS x1, lead(x, 2) OVER (PARTITION BY doc_id ORDER BY n) AS x2 FROM k),
+    h AS (SELECT r.doc_id, min(i) AS i FROM r JOIN t ON r.doc_id = t.doc_id AND r.x = t.x WHERE x1 = r.x AND x2 = r.x AND t.c >= 10 AND t.c >= 0.8 * t.total GROUP BY r.doc_id)
+    SELECT l.doc_id, md5(CASE WHEN h.i IS NULL THEN text ELSE array_to_string(ls[:h.i + 1], chr(10)) END) AS content FROM l LEFT JOIN h ON l.doc_id = h.doc_id""")
+def t23(spark: SparkSession, d: str) -> DataFrame:
+    """Documents, some with a line many times between two copies of their text."""
+    t = table(spark, d, "documents", "doc_id", "text").select("doc_id", F.concat("text", F.lit("\n"), F.repeat(F.lit("same line\n"), (F.col("doc_id") % 3 * 60).cast("int")), "text").alias("text"))
+    return R.cut_dominant_lines(t).select("doc_id", F.md5("text").alias("content"))
+
+
 scalar("t24_formula_number", X.formula_number, rf"CASE WHEN regexp_matches({_P}, '^[(（].*[)）]$') THEN {S('regexp_extract(' + _P + ', ' + chr(39) + '^[(（](.*)[)）]$' + chr(39) + ', 1)')} ELSE {_P} END", "child_chunks", "id", "section_title")
 scalar("t25_region", X.clean_region, S(r"regexp_replace(regexp_replace(regexp_replace(@, '^(?:\\t)+|(?:\\t)+$', '', 'g'), '\.{4,}', '...', 'g'), '_{4,}', '___', 'g')"))
 _BP = "NOT (regexp_matches(x, '^\\s*Document ID\\s+[0-9]+\\s*:') OR regexp_matches(x, '^\\s*[0-9]+\\s+of\\s+[0-9]+\\s*$')" + "".join(f" OR contains(lower(x), '{m}')" for m in X.BOILERPLATE) + ")"
@@ -135,7 +154,7 @@ scalar("t49_numbers", X.numeric_value, r"CASE WHEN regexp_matches(regexp_replace
 scalar("t50_value_kind", X.value_kind, rf"CASE WHEN @ IS NULL THEN 'other' WHEN regexp_matches(regexp_replace({_P}, '[\s,]|[$€£]', '', 'g'), '^[-+]?[0-9]+(?:\.[0-9]+)?$') THEN 'numeric' WHEN regexp_matches({_P}, '^[A-Za-z0-9_./-]{{3,}}$') AND regexp_matches({_P}, '[0-9_]') THEN 'identifier' WHEN length(regexp_replace({_P}, '\s+', '', 'g')) > 0 AND length(regexp_replace(regexp_replace({_P}, '\s+', '', 'g'), '[^\p{{L}}]', '', 'g')) / length(regexp_replace({_P}, '\s+', '', 'g')) >= 0.5 AND length({_P}) >= 4 THEN 'text' ELSE 'other' END", "hybrid_rows", "row_id", "ground_truth")
 scalar("t51_key_signature", X.key_signature, r"array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(@), '[^a-z0-9]+'), lambda w: w <> ''))), ' ')", "hybrid_rows", "row_id", "query")
 scalar("t52_content_type", X.content_type, r"CASE WHEN @ IS NULL THEN 'prose' WHEN len(regexp_extract_all(@, '[{};]')) * 1000.0 / greatest(length(@), 1) > 8 THEN 'code' WHEN len(regexp_extract_all(@, '\|')) * 1000.0 / greatest(length(@), 1) > 8 THEN 'table' WHEN len(regexp_extract_all(@, '\n\s*[-*]\s')) * 1000.0 / greatest(length(@), 1) > 2 THEN 'list' ELSE 'prose' END")
-scalar("t55_keywords", lambda c: F.array_join(X.keywords(c), " "), None)
+scalar("t55_keywords", lambda c: F.array_join(X.keywords(c), " "), r"array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array(lower(@), '\s+'), lambda w: regexp_replace(w, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda w: length(w) > 4))), ' ')")
 scalar("t56_safe_filename", X.safe_filename, r"regexp_replace(regexp_replace(@, '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')", "documents", "doc_id", "section_title")
 scalar("t56_doc_key", X.doc_key, r"regexp_replace(@, '_chunk_[^_]*$', '')", "documents", "doc_id", "source")
 RULES = [(["calibration", "calib"], "prefer calibration chapters"), (["session", "diag"], "prefer diagnostic chapters"), (["bus", "network"], "prefer communication chapters")]

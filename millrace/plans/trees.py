@@ -170,9 +170,12 @@ def p05(spark: SparkSession, d: str) -> DataFrame:
     return refs(spark, d).select("id", F.array_join(F.transform(T.parse_pages(F.col("ref")), lambda x: x.cast("string")), ",").alias("pages"))
 
 
-@query("sp06_strict_pages", f"WITH {CH} SELECT id, CAST(4 AS INTEGER) AS n FROM c")
+@query("sp06_strict_pages", f"WITH {CH} SELECT id, array_to_string(list_sort(list_distinct(list_concat([page_number, page_number + 1], range(page_number % 7, page_number % 7 + page_number % 5 + 1)))), ',') AS pages FROM c")
 def p06(spark: SparkSession, d: str) -> DataFrame:
-    return refs(spark, d).select("id", F.size(T.strict_pages(F.regexp_replace("ref", "^Pages ", ""))).alias("n"))
+    """Lists such as "3, 4,3-7", of one to five pages and two that may be among them."""
+    n = F.col("page_number")
+    ref = F.concat_ws("", n.cast("string"), F.lit(","), (n % 7).cast("string"), F.lit("-"), (n % 7 + n % 5).cast("string"), F.lit(" , "), (n + 1).cast("string"))
+    return refs(spark, d).select("id", F.array_join(F.transform(F.array_sort(F.array_distinct(T.strict_pages(ref))), lambda x: x.cast("string")), ",").alias("pages"))
 
 
 @query("sp19_page_envelope", f"WITH {CH} SELECT id, array_to_string(range(page_number, page_number + 5), ',') AS pages FROM c")

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import dataclasses
+import io
 import json
 import os
-from collections.abc import Mapping
+import zipfile
+from collections.abc import Iterator, Mapping
+from xml.etree import ElementTree
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,6 +62,71 @@ def read_texts(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".tx
     return read_binary(spark, path, suffixes).select("path", F.decode("content", "UTF-8").alias("text"), F.col("length").alias("n_bytes"))
 
 
+def find_files(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
+    """(path, length) of the files below a folder, however deep, with one of the suffixes; contents are not read."""
+    return read_binary(spark, path, suffixes).select("path", "length")
+
+
+def docx_text(data: bytes) -> str:
+    """The paragraphs of an office document, a line each, and its tables as lines of cells between bars, in their order."""
+    w = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+    body = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml")).find(f"{w}body")
+
+    def said(p) -> str:
+        return "".join("\t" if e.tag == f"{w}tab" else "\n" if e.tag in (f"{w}br", f"{w}cr") else e.text or "" for e in p.iter() if e.tag in (f"{w}t", f"{w}tab", f"{w}br", f"{w}cr"))
+
+    out = []
+    for e in body if body is not None else ():
+        if e.tag == f"{w}p" and said(e).strip():
+            out.append(said(e).strip())
+        elif e.tag == f"{w}tbl":
+            for row in e.iter(f"{w}tr"):
+                out.append(" | ".join(" ".join(said(p).strip() for p in c.iter(f"{w}p")).strip() for c in row.iter(f"{w}tc")))
+    return "\n".join(out)
+
+
+def pdf_pages(data: bytes) -> list[str]:
+    """The texts of a PDF's pages, by a reader that is installed (pypdf or PyMuPDF); without one an error."""
+    try:
+        import pypdf
+
+        return [p.extract_text() or "" for p in pypdf.PdfReader(io.BytesIO(data)).pages]
+    except ImportError:
+        try:
+            import fitz
+        except ImportError:
+            raise RuntimeError("reading PDF files needs pypdf or PyMuPDF") from None
+        return [p.get_text() for p in fitz.open(stream=data, filetype="pdf")]
+
+
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, kind, text, error) of the text, office and PDF files below a folder, read by their suffix; other files are
+    passed over. A file that can't be read has a null text and the error, and doesn't fail the others. Pages of a PDF are
+    parted by form feeds."""
+    src = read_binary(spark, path, (".txt", ".md", ".docx", ".pdf")).select("path", "content")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds, texts, errors = [], [], []
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                kind = name.rpartition(".")[2].lower()
+                kinds.append(kind)
+                try:
+                    texts.append(docx_text(data) if kind == "docx" else "\f".join(pdf_pages(data)) if kind == "pdf" else data.decode("utf-8"))
+                    errors.append(None)
+                except Exception as e:  # one bad file costs itself only
+                    texts.append(None)
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.string()) for x in (kinds, texts, errors))], names=["path", "kind", "text", "error"])
+
+    return src.mapInArrow(run, "path string, kind string, text string, error string")
+
+
+def page_tokens(pages: DataFrame, page: str = "page", text: str = "text") -> DataFrame:
+    """Pages with `tokens`, a token for four characters and one at least; pages without a number or text are left out."""
+    return pages.where(F.col(page).isNotNull() & F.col(text).isNotNull()).withColumn("tokens", F.greatest(F.lit(1), F.floor(F.length(text) / 4).cast("int")))
+
+
 def read_binary(spark: SparkSession, path: str, suffixes: tuple[str, ...]) -> DataFrame:
     """Files below a folder as bytes, with their SHA-256."""
     t = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
@@ -104,16 +173,6 @@ def combine_summaries(spark: SparkSession, paths: list[str], summary: str) -> Da
     return t.select(F.input_file_name().alias("file"), F.col("summary").isNull().alias("skipped"), "summary.*")
 
 
-def value_paths(df: DataFrame, levels: list[str], value: str) -> DataFrame:
-    """(path, value) of a sheet with level columns; a level that is null takes the last one above it, which needs an order
-    column `row_no`. Empty levels leave no part."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(F.floor(F.col("row_no") / 1_000_000)).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
-    filled = [F.last(F.nullif(F.col(c), F.lit("")), ignorenulls=True).over(w) for c in levels[:1]] + [F.nullif(F.col(c), F.lit("")) for c in levels[1:]]
-    return df.select(F.concat_ws(".", *filled).alias("path"), F.col(value).alias("value"))
-
-
 def audit(df: DataFrame, file: str, text: str) -> DataFrame:
     """Rows, empty texts and characters of every file, and a total with a null file, in one pass."""
     return df.rollup(file).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col(text).isNull() | (F.length(F.trim(text)) == 0)).alias("empty"), F.sum(F.length(text)).alias("chars"))

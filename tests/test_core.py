@@ -44,8 +44,8 @@ def test_strict_pages_fail(spark):
 @have_data
 def test_cosines_of_all_vectors(spark):
     """Every stated query against every vector but itself."""
-    n, q = spark.read.parquet(f"{SF}/embeddings.parquet").agg(F.count(F.lit(1)), F.count_if(F.expr("vec_id % 25 = 0"))).first()
-    assert registry.queries()["m01_cosine_all"](spark, SF).count() == q * (n - 1)
+    n, q = spark.read.parquet(f"{SF}/embeddings.parquet").agg(F.count(F.lit(1)), F.count_if(F.expr("vec_id % 100 = 0"))).first()
+    assert registry.queries()["m01_cosine"](spark, SF).count() == q * (n - 1)
 
 
 def test_formula_numbers(spark):
@@ -53,14 +53,14 @@ def test_formula_numbers(spark):
 
 
 def test_context_labels(spark):
-    got = one(spark, X.context_parts(F.lit("How does X (Context 1) influence Y when Z (Context 2)?")))
-    assert got == ["How does X", "influence Y when Z", "?"]
+    got = one(spark, X.context_parts(F.lit("Which valve opens (Context 1) and why does pump B stop (context 2)?")))
+    assert got == ["Which valve opens", "and why does pump B stop", "?"]
     assert one(spark, X.context_parts(F.lit("Why?"))) == ["Why?"]
 
 
 def test_boxes(spark):
     box = lambda *v: F.array(*map(F.lit, v))
-    assert one(spark, B.normalised(box(431, 1762, 1061, 2189), F.lit(2040), F.lit(2640))) == [211, 667, 520, 829]
+    assert one(spark, B.normalised(box(123, 77, 456, 810), F.lit(820), F.lit(990))) == [150, 77, 556, 818]
     assert one(spark, B.normalised(box(500, 500, 1000, 1000), F.lit(2000), F.lit(2000))) == [250, 250, 500, 500]
     assert one(spark, B.normalised(box(1, 2, 3), F.lit(10), F.lit(10))) == [1, 2, 3]
     assert one(spark, B.normalised(box(1, 2, 3, 4), F.lit(0), F.lit(10))) == [1, 2, 3, 4]
