@@ -131,7 +131,7 @@ def decoded(run: str) -> tuple[tuple[str, tuple[tuple[int, int, str], ...]], ...
 def multibyte(text: str) -> tuple[str, int]:
     """The text with its garbled spans decoded, and how many there were."""
     total = 0
-    for _ in range(3):
+    while True:  # each round leaves fewer characters
         by: dict[str, list[tuple[int, int, str, int]]] = {}
         for run in _RUN.finditer(text):  # a span has two high characters at least
             at = run.start()
@@ -184,7 +184,7 @@ def oddness(text: str) -> int:
             latin = ord(c) < 0x250 or 0x1E00 <= ord(c) < 0x1F00 or c in "ªº"
             if not latin:
                 kana = ord(c) >= 0x2E80
-                odd += near and not kana and not (c in "ΩµπΔΣ" and not inside) and unicodedata.category(c) != "Lm"
+                odd += near and not kana and not (c in "ΩµπΔΣ" and not inside) and (unicodedata.category(c) != "Lm" or (c == "ⁿ" and inside))
             elif c in "ªº":
                 odd += inside or (_ascii_letter(after))
             elif c.isupper() and before.islower() and before.isalpha():
@@ -203,15 +203,28 @@ def oddness(text: str) -> int:
     return odd
 
 
+_HIGH = re.compile(r"(\S*[^\x00-\x7f\s]\S*)")
 _COMMON = re.compile(r"[äöüßéèêàáíóúñçâîôûïÄÖÜÉ«»°±µ§]")
 
 
-def single_byte(text: str) -> tuple[str, int]:
+def single_byte(text: str, mixed: bool = False) -> tuple[str, int]:
     """The text read in the single-byte encoding that leaves nothing odd, and how many characters that changed; (text, 0)
-    if nothing is odd or no reading is better."""
+    if nothing is odd or no reading is better. Of a mixed text, which is right in part, only words that hold something odd
+    are read anew."""
     before = oddness(text)
     if not before:
         return text, 0
+    if mixed:
+        parts = _HIGH.split(text)
+        odd = [i for i, w in enumerate(parts) if i % 2 and LOST not in w and oddness(w)]
+        if not odd:
+            return text, 0
+        # with blanks between them, the odd words are a text of their own
+        out, n = single_byte(" ".join(parts[i] for i in odd))
+        if n:
+            for i, w in zip(odd, out.split(" ")):
+                parts[i] = w
+        return "".join(parts), n
     high = [c for c in text if c > "\x7f"]
     best = (before, 0, text)
     for taken, really in SWAPS:
@@ -242,9 +255,8 @@ def repair(text: str | None) -> tuple[str | None, int, int]:
         return text, 0, 0
     lost = text.count(LOST)
     out, spans = multibyte(text)
-    if not spans and not lost:
-        out, spans = single_byte(text)
-    return out, spans, lost
+    out, more = single_byte(out, bool(spans or lost))
+    return out, spans + more, lost
 
 
 def repair_encoding(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

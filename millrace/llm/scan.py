@@ -34,8 +34,11 @@ LEAST = 5
 RATIO, RATIO_SIGNS = 12.0, 2.0
 #: Words with vectors, neighbours counted for them, and dimensions.
 VECTORS, NEIGHBOURS, DIMENSIONS = 20_000, 1_000, 24
-#: Texts of a file in which a title-like line must stand to be a running header without naming the file.
-REPEATS = 3
+#: Texts of a file in which a title-like line must stand at least to be a running header without naming the file, and
+#: their share of the file's texts; files in which the same form of line must stand, and their share of all files.
+REPEATS, REPEATED, FORMS = 3, 0.01, 0.01
+#: Share of all words from which on a word is so common that a hyphen between two such words may be their own.
+COMMON = 2.5e-5
 
 #: Glyph groups that are taken for each other, written as what they are made into.
 GLYPHS = {"rn": "m", "vv": "w", "cl": "d", "ii": "u", "li": "h", "ti": "h", "0": "o", "1": "l", "|": "l", "9": "g", "@": "a", "+": "t", "c": "e", "5": "s", "$": "s", "8": "b"}
@@ -98,8 +101,10 @@ class Line:
 
     def __init__(self, text: str):
         self.page, self.head = False, None
-        if not text or len(text) > 120:
+        if not text:
             return
+        if len(text) > 120 and sum(w[0].islower() for w in _PART.findall(text[:240])) > 6:
+            return  # more small words than a title and a page number have: no long line needs a closer look
         if page_number(text):
             self.page = True
             return
@@ -199,7 +204,7 @@ class Text:
         self.kinds: dict[int, Line] = {}
         for i, s in enumerate(self.lines):
             t = s.strip()
-            if t and len(t) <= 120:
+            if t:
                 c = t[0]
                 # cheap: most lines are running text
                 if c.isupper() or c.isdigit() or c in "[(<–—-pPsS":
@@ -221,6 +226,7 @@ class Dictionary:
 
     def __init__(self, counts: dict[str, int], words: list[str] | None = None, vectors: np.ndarray | None = None, beside: list[str] | None = None, contexts: np.ndarray | None = None):
         self.counts = counts
+        self.common = max(20 * LEAST, COMMON * sum(counts.values()))
         self.memo: dict[str, list[str]] = {}
         self.by_fold: dict[str, list[str]] = {}
         for w in counts:
@@ -295,12 +301,12 @@ class Dictionary:
             return False
         if b[0].isupper():
             return False
-        return not (self.counts.get(a.lower(), 0) > 20 * LEAST and self.counts.get(b.lower(), 0) > 20 * LEAST and len(a) > 2 and len(b) > 2)
+        return not (self.counts.get(a.lower(), 0) > self.common and self.counts.get(b.lower(), 0) > self.common and len(a) > 2 and len(b) > 2)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per batch: words with their counts (kind w), title-like lines by file with the texts they stand in (h), and with the
-    file's words taken out by file (t)."""
+    """Per batch: words with their counts (kind w), texts by file (f), title-like lines by file with the texts they stand in
+    (h), and with the file's words taken out by file (t)."""
     for batch in batches:
         words: Counter = Counter()
         heads: Counter = Counter()
@@ -309,6 +315,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             t = Text(text)
             words.update(map(str.lower, re.findall(r"[^\W_][\w@+|$'-]*[^\W_@]|[@|+$][\w@+|$]*[^\W_]|[^\W_]", t.running)))
+            if name:
+                heads["f", name, ""] += 1
             if name and t.kinds:
                 for k in {line_key(x.head) for x in t.kinds.values() if x.head}:
                     heads["h", name, k] += 1
@@ -396,8 +404,10 @@ def learn(texts: DataFrame) -> Model:
     """From (text, filename), by three jobs over all texts and whole."""
     counts = stage(texts.select("filename", "text").mapInArrow(_count, "kind string, filename string, key string, n long").groupBy("kind", "filename", "key").agg(F.sum("n").alias("n")).where("kind <> 'w' OR n > 1"), "counts")
     known = dictionary(counts)
-    heads = counts.where("kind = 'h'").where(F.col("n") >= REPEATS).select("filename", "key")
-    forms = counts.where("kind = 't'").groupBy(F.col("key").alias("form")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= REPEATS).select("form")
+    files = counts.where("kind = 'f'").select("filename", F.col("n").alias("texts"))
+    heads = counts.where("kind = 'h'").where(F.col("n") >= REPEATS).join(files, "filename").where(F.col("n") >= REPEATED * F.col("texts")).select("filename", "key")
+    least = max(REPEATS, FORMS * files.count())
+    forms = counts.where("kind = 't'").groupBy(F.col("key").alias("form")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("form")
     return Model(Dictionary(known, *vectors(texts, known)), heads, forms)
 
 

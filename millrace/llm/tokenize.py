@@ -4,8 +4,9 @@ Method: a streaming transducer. For every prefix of a byte string the last token
 one earlier prefix: token t ends prefix i if t is one of the bytes before i, and the last token of the prefix before t
 may stand left of t (no merge crosses the border, see `Bpe.fits`). No later byte changes that, so one pass over the
 bytes gives the last token of every prefix. What is still open is only which prefixes the final encoding uses: a token
-is emitted once the chains of all prefixes that a later token can start from (as many as the longest token has bytes:
-the lookahead) share it. Memory is thus that of the bytes not yet emitted.
+is emitted once the chains of all prefixes that a later token can start from (as many as the longest token that the
+merges make has bytes: the sufficient lookahead) share it. Memory is thus that of the bytes not yet emitted. A text is fed in
+parts that end before white space, where the published pattern always begins a new piece.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ SPACE = "\t-\r \x85\xa0  -     　"
 #: Fixed value: the published split pattern, once for any text and once for text of ASCII characters only.
 PATTERN = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+#: Characters of a text that are taken at a time.
+PART = 65_536
+_BORDER = re.compile(rf"[{SPACE}](?=[^{SPACE}])")
 #: Pieces kept in a worker's memo. It bounds memory only: a piece that isn't there is encoded again.
 MEMO = 400_000
 
@@ -59,7 +63,8 @@ class Bpe:
             self.merge[x, y] = (rank, t)
             if t not in self.parts:
                 self.parts[t], self.born[t] = (x, y), rank
-        self.lookahead = max(map(len, vocab))
+        # the sufficient lookahead of the merge list: a token that merges don't make never stands in an encoding
+        self.lookahead = max((len(self.bytes_of[t]) for t in self.parts), default=1)
         self._fits: dict[tuple[int, int], bool] = {}
         self._right: dict[int, list[tuple[int, float]]] = {}
         self._left: dict[int, list[tuple[int, float]]] = {}
@@ -179,7 +184,23 @@ class Bpe:
             self._memo[s] = ids
         return ids
 
+    def ids(self, parts: Iterable[str]) -> Iterator[int]:
+        """Ids of a text that comes in parts of any size. What is held is the last run without white space."""
+        rest = ""
+        for part in parts:
+            part = rest + part
+            cut = next((m.end() for m in _BORDER.finditer(part[::-1])), 0)  # the last white space behind another character
+            cut = len(part) - cut if cut else 0
+            yield from self._whole_pieces(part[:cut])
+            rest = part[cut:]
+        yield from self._whole_pieces(rest)
+
     def encode(self, text: str) -> list[int]:
+        if len(text) <= PART:
+            return self._whole_pieces(text)
+        return list(self.ids(text[a : a + PART] for a in range(0, len(text), PART)))
+
+    def _whole_pieces(self, text: str) -> list[int]:
         memo, piece = self._memo, self.piece
         split = ASCII_PATTERN if text.isascii() else PATTERN
         out: list[int] = []

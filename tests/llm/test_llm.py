@@ -149,6 +149,22 @@ def test_scan_noise(spark):
     assert fixed["f"] is None and fixed["g"] == "" and len(fixed) == 67
 
 
+def test_long_furniture_lines():
+    """A running header or its page number is one at any length of the line."""
+    for n in (5, 40, 200):
+        x = scan.Line(" ".join(["Word"] * n) + "     Page 12")
+        assert x.page and x.head == " ".join(["Word"] * n)
+
+
+def test_header_must_repeat_in_a_share_of_its_file(spark):
+    """Three times in a file of twelve texts is a running header, three times among six hundred is not."""
+    body = "the module shall report every error before normal operation and return"
+    rows = [(f"{f}{i}", f, ("Annual Safety Digest\n" if i < 3 else "") + body) for f, n in (("small.pdf", 12), ("large.pdf", 600)) for i in range(n)]
+    df = spark.createDataFrame(rows, "chunk_id string, filename string, text string")
+    got = {r.chunk_id for r in scan.noise(df, scan.learn(df), ("chunk_id",)).where("noise = 'header'").collect()}
+    assert got == {"small.pdf0", "small.pdf1", "small.pdf2"}
+
+
 def test_folds_meet():
     for a, b in (("modern", "modem"), ("clock", "dock"), ("internal", "intemal"), ("lehnt", "lelint"), ("decline", "dechne"), ("written", "vvritten")):
         assert set(scan.folds(a)) & set(scan.folds(b)), (a, b)
@@ -407,6 +423,20 @@ def test_long_pieces_stream(library):
     assert list(b.stream([data])) == list(b.stream(data[i : i + 7] for i in range(0, len(data), 7)))
 
 
+@given(st.text(alphabet="ab é'.\n\t状12 s", max_size=120), st.integers(1, 9))
+@settings(deadline=None, max_examples=200)
+def test_ids_of_parts(text, size):
+    """However a text is parted, its ids are those of the whole."""
+    b = tokenize.bpe(PATH)
+    assert list(b.ids(text[i : i + size] for i in range(0, len(text), size))) == b._whole_pieces(text)
+
+
+def test_text_longer_than_a_part(library):
+    rng = random.Random(6)
+    text = "".join(rng.choice(["word", " ", "  ", "\n", "don't", "éa", "1234", "状態", ".", "x" * 300]) for _ in range(60_000))
+    assert len(text) > 4 * tokenize.PART and tokenize.bpe(PATH).encode(text) == library.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_dirt(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (None, "a b", 5), (3, "a b", 5), (3, "a b", 5)], "doc_id int, text string, ids int")
     got = sorted((r.doc_id or 0, r.ids) for r in tokenize.encode(df, PATH).collect())
@@ -499,6 +529,23 @@ def test_multibyte_repair(taken):
     assert n and (lost or out == TEXT)
 
 
+@pytest.mark.parametrize("times", [1, 2, 3, 4, 6])
+def test_garbled_many_times(times):
+    bad = TEXT
+    for _ in range(times):
+        bad = bad.encode().decode("latin_1")
+    assert encoding.repair(bad)[0] == TEXT
+
+
+def test_both_kinds_in_one_text():
+    """A part that went through a multibyte decoding, one that went through another single-byte encoding, and a lost sign."""
+    good = "die Schlüssel prüfen später größere Geräte"
+    other = good.encode("cp1252").decode("cp437")
+    fine = "über Öl"
+    out, n, lost = encoding.repair(f"{good.encode().decode('cp1252')} . {other} . {fine} . gr\ufffdn")
+    assert out == f"{good} . {good} . {fine} . gr\ufffdn" and n and lost == 1
+
+
 def test_twice_garbled():
     bad = TEXT.encode().decode("latin_1").encode().decode("latin_1")
     assert encoding.repair(bad)[0] == TEXT
