@@ -137,18 +137,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return defective_pairs(_pairs(spark, d)).select("row_table", "row_id", F.col("defects")[0].alias("defect"))
 
 
+def _scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's chunks once, with their ids and scores only: texts are dropped where they are read."""
+    chunks = F.transform("context_chunks", lambda c: F.when(c.isNotNull(), F.struct(*(c[f].alias(f) for f in ("source_id", *SCORES)))))
+    return table(spark, d, "hybrid_rows", "row_id", "context_chunks").select("row_id", chunks.alias("context_chunks")).dropDuplicates(["row_id"])
+
+
 def p7_order(spark: SparkSession, d: str) -> DataFrame:
     from .fusion import rank_walk
 
-    rows = table(spark, d, "hybrid_rows", "row_id", "context_chunks").dropDuplicates(["row_id"])
-    return rank_walk(rows, SCORES).select("row_id", "source_id", "position", F.round("share", 6).alias("share"))
+    return rank_walk(_scores(spark, d), SCORES).select("row_id", "source_id", "position", F.round("share", 6).alias("share"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     from .fusion import balanced_leaders, rank_walk
 
-    rows = table(spark, d, "hybrid_rows", "row_id", "context_chunks").dropDuplicates(["row_id"])
-    return balanced_leaders(rank_walk(rows, SCORES), SCORES)
+    return balanced_leaders(rank_walk(_scores(spark, d), SCORES), SCORES)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
@@ -201,7 +205,14 @@ LEAKS = r"""
     r AS (SELECT doc_id, item_id, min(i) - 1 AS p, count(*) + 11 AS n FROM m GROUP BY doc_id, item_id, far, run),
     b AS (SELECT doc_id, item_id, max(n)::INTEGER AS n_words, arg_min(p, (-n, p))::INTEGER AS word_position FROM r GROUP BY doc_id, item_id)"""
 
+# brute force: the five most similar of every usable vector
+NEAREST = f"""
+    WITH v AS (SELECT DISTINCT ON (id) id, CAST(dense_vec AS FLOAT[{DIMS}]) AS v FROM child_chunks WHERE id IS NOT NULL AND len(dense_vec) = {DIMS} AND NOT list_bool_or(list_transform(dense_vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_bool_or(list_transform(dense_vec, lambda x: x <> 0))),
+    s AS (SELECT a.id, b.id AS neighbour, array_cosine_similarity(a.v, b.v) AS similarity FROM v a JOIN v b ON a.id <> b.id),
+    n AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY round(similarity, 6) DESC, neighbour) AS place FROM s QUALIFY place <= 5)"""
+
 ORACLE: dict[str, str] = {
+    "p2_found": f"{NEAREST} SELECT DISTINCT least(id, neighbour) AS id_a, greatest(id, neighbour) AS id_b FROM n WHERE similarity >= {ALIKE}",
     "p1_found": f"""
         SELECT DISTINCT 'parent' AS chunk_kind, id AS chunk_id FROM parent_chunks WHERE length(text) > {PARENT_LIMIT}
         UNION ALL SELECT DISTINCT 'child', id FROM child_chunks WHERE length(enriched_text) > {CHILD_LIMIT}""",
