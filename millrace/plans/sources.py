@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -155,13 +155,15 @@ def _passage_files(spark: SparkSession, d: str) -> str:
     return path
 
 
-ITEM = F.regexp_extract("path", "item=([^/]+)/", 1).cast("long").alias("item_id")
+def _item() -> Column:
+    """The item that a file's folder names."""
+    return F.regexp_extract("path", "item=([^/]+)/", 1).cast("long").alias("item_id")
 
 
 @query("s10_text_files", "SELECT item_id, md5(passage) AS content, 'txt' AS kind FROM eval_passages WHERE passage IS NOT NULL")
 def s10(spark: SparkSession, d: str) -> DataFrame:
     """Whole texts written as files and read again by what their suffix says."""
-    return S.read_documents(spark, _passage_files(spark, d)).select(ITEM, F.md5(F.regexp_replace("text", r"\n$", "")).alias("content"), "kind")
+    return S.read_documents(spark, _passage_files(spark, d)).select(_item(), F.md5(F.regexp_replace("text", r"\n$", "")).alias("content"), "kind")
 
 
 @query("s11_page_tokens", "SELECT DISTINCT ON (id) id, filename, page_number AS page, greatest(1, length(text) // 4)::INTEGER AS tokens FROM parent_chunks WHERE text IS NOT NULL AND filename IS NOT NULL AND page_number IS NOT NULL")
@@ -174,7 +176,7 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
 @query("s12_discovery", "SELECT item_id FROM eval_passages WHERE passage IS NOT NULL")
 def s12(spark: SparkSession, d: str) -> DataFrame:
     """All text files below a folder, however deep."""
-    return S.find_files(spark, _passage_files(spark, d), (".txt",)).select(ITEM)
+    return S.find_files(spark, _passage_files(spark, d), (".txt",)).select(_item())
 
 
 @query("s23_combine_metrics", """
