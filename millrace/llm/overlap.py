@@ -2,13 +2,13 @@
 
 Method: winnowing. Each field is reduced to its letters and digits; of the rolling hashes of every window the smallest is
 kept, so any two fields with a common run of `window + gram - 1` characters share a kept hash. Kept hashes are joined
-across the splits. One that would make more than DIRECT pairs (a turn of phrase of the domain) is joined as a combination
-of one such hash of every field, since all fields must agree; combinations that are frequent in turn are spread by a salt.
-Of the pairs that this makes, those are dropped at once that the verdict would drop anyway, by a lower bound of the words
-left over, from bit sets of the words of one side and of all that are near the other's; the others are compared once each:
-words that both texts have are chained where they are collinear, chains are extended by alignment, and what no chain
-covers is left over. Chains may stand in any order, as sentences may. A pair counts if in every field no more than a share
-of the words is left over. Exact copies are one class throughout: classes are compared, and members are added at the end.
+across the splits, each whole, however frequent: one that makes more than DIRECT pairs (a turn of phrase of the domain) is
+spread by a salt. Of the pairs that this makes, those are dropped at once that the verdict would drop anyway, by a lower
+bound of the words left over, from bit sets of the words of one side and of all that are near the other's; the others are
+compared once each: words that both texts have are chained where they are collinear, chains are extended by alignment, and
+what no chain covers is left over. Chains may stand in any order, as sentences may. A pair counts if in every field no more
+than a share of the words is left over. Exact copies are one class throughout: classes are compared, and members are added
+at the end.
 """
 
 from __future__ import annotations
@@ -28,9 +28,9 @@ from ..runtime import stage
 
 WORD = re.compile(r"[^\W_]+")
 GRAM, WINDOW = 16, 16
-#: Pairs across the splits up to which a seed is joined by itself; one that makes more, with such seeds of the other fields.
+#: Pairs across the splits up to which a seed is joined in one piece; one that makes more is salted.
 DIRECT = 65_536
-#: Pairs that a task should make of one key; a key that makes more is salted.
+#: Pairs that a salted seed should make in one piece.
 PAIRS_A_TASK = 500_000
 #: 64-bit parts of the bit set of a field's words.
 MARKS = 6
@@ -376,19 +376,11 @@ def find(records: DataFrame, fields: tuple[str, ...] = ("user_input", "reference
     texts_of = classes.select("c", "train", "held", *texts)
     seeds = stage(texts_of.mapInArrow(seed, "c long, train int, held int, seed long, field byte"), "seeds")
 
-    def counted(keys: DataFrame) -> DataFrame:
-        # a key of one side only, or of one class alone, makes no pair
-        counts = keys.groupBy("seed").agg(F.sum("train").alias("nt"), F.sum("held").alias("nh")).where("nt > 0 AND nh > 0 AND nt + nh > 2 OR nt = 1 AND nh = 1")
-        return keys.join(counts.select("seed", (F.col("nt") * F.col("nh")).alias("pairs")), "seed")
-
-    use = stage(counted(seeds), "shared")
-    if len(fields) > 1:
-        hot = use.where(F.col("pairs") > DIRECT).groupBy("c", "train", "held").agg(*(F.collect_list(F.when(F.col("field") == f, F.col("seed"))).alias(f"h{f}") for f in range(len(fields))))
-        for f in range(len(fields)):
-            hot = hot.withColumn(f"h{f}", F.explode(f"h{f}"))
-        joint = counted(hot.select("c", "train", "held", F.xxhash64(*(f"h{f}" for f in range(len(fields)))).alias("seed")))
-        use = use.where(F.col("pairs") <= DIRECT).drop("field").unionByName(joint)
-    use = use.withColumn("salts", F.ceil(F.col("pairs") / PAIRS_A_TASK).cast("int"))
+    # a seed of one side only, or of one class alone, makes no pair
+    counts = seeds.groupBy("seed").agg(F.sum("train").alias("nt"), F.sum("held").alias("nh")).where("nt > 0 AND nh > 0 AND nt + nh > 2 OR nt = 1 AND nh = 1")
+    made = F.col("nt") * F.col("nh")
+    salts = F.when(made > DIRECT, F.ceil(made / PAIRS_A_TASK) + 1).otherwise(1).cast("int")
+    use = stage(seeds.drop("field").join(counts.select("seed", salts.alias("salts")), "seed"), "shared")
     sizes = [F.size(F.split(t, " ")).alias(f"n{i}") for i, t in enumerate(texts)]
     said = classes.select("c", "train", "held", F.posexplode(F.array(*texts)).alias("field", "text")).select("c", "train", "held", "field", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
     held_said = said.where("held = 1").select("c", "field", "word")

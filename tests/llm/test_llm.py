@@ -228,6 +228,21 @@ def test_group_of_edited_copies_against_brute_force(spark, monkeypatch, direct):
     assert got == want and len(want) > 1_500
 
 
+def test_frequent_seed_of_one_field_is_enough(spark, monkeypatch):
+    """All questions are the same, and typing errors leave no seed that two answers share."""
+    monkeypatch.setattr(overlap, "DIRECT", 100)
+    rng = random.Random(6)
+    ask = "what does the gateway of the second vehicle line do with the stored frame at shutdown"
+    rows = []
+    for i in range(12):
+        say = ["".join(rng.choice("abcdefghij") for _ in range(8)) for _ in range(30)]
+        rows.append((f"train{i:02d}", "train", ask, " ".join(say)))
+        rows.append((f"test{i:02d}", "test", ask, " ".join(w[:4] + "z" + w[5:] if k % 2 else w for k, w in enumerate(say))))
+    seeds = {i: set(overlap.winnow(a.split(), 2)[1].tolist()) for i, _, _, a in rows}
+    assert not any(seeds[f"train{i:02d}"] & seeds[f"test{j:02d}"] for i in range(12) for j in range(12))
+    assert found_links(spark, rows) == links(rows) == {(f"test{i:02d}", f"train{i:02d}") for i in range(12)}
+
+
 @pytest.mark.parametrize("n", [5, 30])
 def test_every_pair_of_a_group_is_found(spark, n):
     """Long shared phrases, and two of about fifty words that differ in each field."""
