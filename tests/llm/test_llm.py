@@ -2,6 +2,9 @@
 
 import random
 import re
+import zlib
+from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -364,6 +367,50 @@ def test_cutoffs_are_validated():
     assert pairs.cutoff([0.0, 0.1, 0.6], [0.99, 0.9]) == pytest.approx(0.75) and pairs.cutoff([], []) == 0.5
 
 
+SOUND = [
+    ("How long may the sensor label stay in the buffer before it reports an error?", "The label stays there for at most 20 ms, and the driver then drops the oldest of its entries."),
+    ("Wie lange darf die Marke im Puffer bleiben?", "Die Marke bleibt dort für höchstens 20 ms, und der Treiber verwirft danach die ältesten Einträge."),
+    ("Combien de temps la marque peut-elle rester dans le tampon?", "La marque reste dans le tampon pour 20 ms, et le pilote ne garde que les plus récentes."),
+    ("Which module drops the oldest entries of the table at start-up?", "The gateway."),
+    ("バッファはいつ消去されますか", "バッファは起動のたびに消去され、そのあとで表が読み込まれます。"),
+    ("Sensor 12 x 7?", "The second value of the stored table is only read by the gateway at start-up."),
+]
+
+
+def test_damage_by_counts_against_brute_force():
+    """Every question of a known language under every answer of another one, each language with the same weight."""
+    n = {i: 3 * i + 1 for i in range(len(SOUND))}
+    words = Counter()
+    for i, x in enumerate(SOUND):
+        for w in pairs.damage(*x).split(" "):
+            words[w] += n[i]
+    got = pairs.damages(words)
+    want = {d: Counter() for d in pairs.DEFECTS}
+    langs = [pairs.language(a)[0] if len(a.split()) >= 6 else None for _, a in SOUND]
+    for i, (q, _) in enumerate(SOUND):
+        lang = pairs.language(q)[0]
+        others = {x for x in langs if x and x != lang} if lang else set()
+        for k, (_, a) in enumerate(SOUND):
+            if langs[k] in others:
+                of_it = sum(n[j] for j, x in enumerate(langs) if x == langs[k])
+                want["other_language"][pairs.votes(q, a, only="other_language")] += Fraction(n[i] * n[k], len(others) * of_it)
+        for d in set(pairs.DEFECTS) - {"other_language"}:
+            for x in pairs.damaged([(q, SOUND[i][1])], zlib.crc32("\0".join(SOUND[i]).encode()))[d]:
+                want[d][pairs.votes(*x, only=d)] += n[i]
+    assert got == want and all(want.values()) and got["empty_answer"].total() == sum(n.values())
+    for q, a in SOUND:
+        assert "".join(pairs.votes(q, a, only=d) for d in pairs.DEFECTS) == pairs.votes(q, a)
+
+
+def test_cutoffs_come_from_all_sound_pairs(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(pairs, "cutoff", lambda sound, bad: seen.append((Counter(sound).total(), Counter(bad).total())) or 0.5)
+    rows = [("h", i, *SOUND[i % 2]) for i in range(900)] + [("h", i, *SOUND[0]) for i in range(0, 900, 2)] + [("h", 900, SOUND[0][0], "N/A"), ("h", 901, None, SOUND[0][1])]
+    got = pairs.defective_pairs(spark.createDataFrame(rows, "row_table string, row_id int, question string, answer string")).collect()
+    assert [r.row_id for r in got] == [900] and [s for s, _ in seen] == [900] * len(pairs.DEFECTS)
+    assert [b for _, b in seen] == [900, 900, 900, 900, 900]
+
+
 # ---- 7 one ranking
 
 def plain_walk(s, damping=0.9):
